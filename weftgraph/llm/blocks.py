@@ -12,11 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
+#: Columns of a row between a chunk and a bucket; what a and b hold is up to the operator.
+ROWS = "chunk int, bucket int, a binary, b binary"
 
 
 @dataclass(frozen=True)
@@ -55,3 +58,9 @@ def joined(blobs: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All blobs as one array, and the blob that each entry came from."""
     sizes = [len(b) // np.dtype(kind).itemsize for b in blobs]
     return np.frombuffer(b"".join(blobs), kind), np.repeat(np.arange(len(blobs)), sizes)
+
+
+def block_rows(rows: list[tuple]) -> pa.Table:
+    """Rows of (chunk, bucket, a, b) as a table."""
+    cols = list(zip(*rows)) if rows else [[], [], [], []]
+    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "a", "b"])

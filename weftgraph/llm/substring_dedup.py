@@ -20,19 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Layout, by_bucket, in_chunks, joined, middle
+from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, middle
 from .common import small_batches, text_bytes
 from .words import hashed, parts, spread, windows
 
-_ASK = "chunk int, bucket int, a binary, b binary"
 _EMPTY = b""
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "a", "b"])
-
-
 def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts of a chunk, their ids, and which of them have an id."""
     ids = table.column("doc_id")
@@ -121,7 +115,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         hashes, owner, _ = phrases(texts, n)
         hashes = np.unique(hashes[known[owner]])
         chunk = table.column("chunk")[0].as_py()
-        return _rows([(chunk, b, np.unique(middle(hashes[s], bits)).tobytes(), _EMPTY) for b, s in by_bucket(hashes, bits)])
+        return block_rows([(chunk, b, np.unique(middle(hashes[s], bits)).tobytes(), _EMPTY) for b, s in by_bucket(hashes, bits)])
 
     def shared(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
@@ -134,11 +128,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if flags[at : at + k].any():
                 out.append((c, table.column("bucket")[0].as_py(), np.packbits(flags[at : at + k]).tobytes(), _EMPTY))
             at += k
-        return _rows(out)
+        return block_rows(out)
 
     def ask_more(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _rows([])
+            return block_rows([])
         texts, ids, known = _texts(table)
         hashes, owner, _ = phrases(texts, n)
         ok = known[owner]
@@ -152,7 +146,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 keep |= np.unpackbits(np.frombuffer(flags[b], np.uint8), count=len(prints)).astype(bool)[where]
             if keep.any():
                 out.append((chunk, b, h[s][keep].astype("<u8").tobytes(), least[s][keep].astype("<i8").tobytes()))
-        return _rows(out)
+        return block_rows(out)
 
     def earlier(table: pa.Table) -> pa.Table:
         chunks, blobs = table.column("chunk").to_pylist(), table.column("a").to_pylist()
@@ -167,7 +161,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             got = h[bounds[k] : bounds[k + 1]][later[bounds[k] : bounds[k + 1]]]
             if len(got):
                 out.append((c, table.column("bucket")[0].as_py(), got.tobytes(), _EMPTY))
-        return _rows(out)
+        return block_rows(out)
 
     kinds = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_sha256 string" + (", text string" if with_text else "")
 
@@ -209,6 +203,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pa.table(columns, ["doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["text"] if with_text else [])])
 
     chunked = dealt.groupBy("chunk")
-    many = chunked.applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(shared, _ASK)
-    dated = chunked.cogroup(many.groupBy("chunk")).applyInArrow(ask_more, _ASK).groupBy("bucket").applyInArrow(earlier, _ASK)
+    many = chunked.applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(shared, ROWS)
+    dated = chunked.cogroup(many.groupBy("chunk")).applyInArrow(ask_more, ROWS).groupBy("bucket").applyInArrow(earlier, ROWS)
     return chunked.cogroup(dated.groupBy("chunk")).applyInArrow(parse, kinds)
