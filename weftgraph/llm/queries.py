@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm_scoring, packing, quality, substring_dedup, token_counts
+from . import jaccard_join, langid, lm_scoring, packing, quality, substring_dedup, token_counts
 from .common import held_out, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,10 +35,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op4_packing, op6_language_id, op8_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op4_packing, op6_language_id, op8_quality_rules, op9_jaccard_join, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
