@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, lm_scoring, packing, quality, substring_dedup, token_counts
+from . import jaccard_join, langid, lm_scoring, neighbours, packing, quality, substring_dedup, token_counts
 from .common import held_out, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
 
@@ -45,5 +49,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op4_packing, op6_language_id, op8_quality_rules, op9_jaccard_join, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_nearest_neighbours, op4_packing, op6_language_id, op8_quality_rules, op9_jaccard_join, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
