@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, lm_scoring, neighbours, packing, quality, substring_dedup, token_counts
+from . import jaccard_join, langid, lm_scoring, neighbours, packing, pieces, quality, substring_dedup, token_counts, toxicity
 from .common import held_out, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_BPE, with_ids=False)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = held_out("doc_id", 3, 1)
@@ -35,6 +40,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, prototypes, keep={"held_out": held}).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, chain = table(spark, sf_dir, "documents"), ["quality", "toxic"]
+    models = toxicity.learn(docs, table(spark, sf_dir, "labels"), chain)
+    found = toxicity.predict(docs, models, chain)
+    return found.select("doc_id", "toxic", F.col("toxic_score").alias("score"), F.col("quality_score").alias("quality_score"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -49,5 +61,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_nearest_neighbours, op4_packing, op6_language_id, op8_quality_rules, op9_jaccard_join, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_nearest_neighbours, op4_packing, op5_sentencepiece, op6_language_id, op7_toxicity, op8_quality_rules, op9_jaccard_join, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
