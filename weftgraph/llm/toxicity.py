@@ -67,7 +67,7 @@ def select(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray, least_docs: int
     return words[(both >= least_docs) & (z >= least_z)]
 
 
-def fit_one(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray, earlier: np.ndarray, *, least_docs: int, least_z: float, penalty: float = 1.0, rounds: int = 300) -> Model:
+def fit_one(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray, earlier: np.ndarray, *, least_docs: int, least_z: float, penalty: float = 1.0, rounds: int = 400) -> Model:
     """Penalised logistic regression by full-batch Adam; the same on every machine."""
     n = len(y)
     words = select(hashes, owner, y, least_docs, least_z)
@@ -87,15 +87,16 @@ def fit_one(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray, earlier: np.nd
     return Model(words, w[:k], w[k : k + m], float(w[-1]), 0.5)
 
 
-def best_limit(p: np.ndarray, y: np.ndarray) -> float:
-    """The limit with the best F1 on out-of-fold predictions, in the middle of its gap."""
+def best_limit(p: np.ndarray, y: np.ndarray, floor: float = 0.25) -> float:
+    """The limit with the best F1 on out-of-fold predictions, in the middle of its gap; at least ``floor``,
+    so that labels without any sign in the words do not draw clean texts in."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1.0, y.sum()))
     last = np.r_[p[order][1:] < p[order][:-1], True]
     k = int(np.argmax(np.where(last, f1, -1)))
     after = p[order][k + 1] if k + 1 < len(p) else 0.0
-    return float((p[order][k] + after) / 2)
+    return max(floor, float((p[order][k] + after) / 2))
 
 
 def fit_chain(hashes: np.ndarray, owner: np.ndarray, labels: np.ndarray, known: np.ndarray, folds: np.ndarray, *, least_docs: int, least_z: float, n_folds: int = 4) -> list[Model]:
@@ -124,7 +125,7 @@ def fit_chain(hashes: np.ndarray, owner: np.ndarray, labels: np.ndarray, known:
     return models
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, least_docs: int = 8, least_z: float = 6.0) -> list[Model]:
+def learn(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, least_docs: int = 5, least_z: float = 5.0) -> list[Model]:
     """Fit the chain to at most ``train_rows`` labelled documents: those with the smallest hash of their id.
 
     Equal texts with equal labels teach once. Rows without a label in a category teach nothing in it. Texts
