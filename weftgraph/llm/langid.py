@@ -168,7 +168,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     small_batches(docs.sparkSession)
     names = sorted(prototypes)
     table = np.stack([prototypes[x] / max(1e-12, float(np.linalg.norm(prototypes[x]))) for x in names]).astype(np.float32) if names else None
-    extra = keep or {}
+    extra = {f"keep_{k}": c for k, c in enumerate((keep or {}).values())}
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,4 +191,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in extra.items()], F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(classify, f"{kinds}, lang_pred string, score double")
+    return narrow.mapInArrow(classify, f"{kinds}, lang_pred string, score double").withColumnsRenamed(dict(zip(extra, keep or {})))

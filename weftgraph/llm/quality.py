@@ -98,7 +98,7 @@ def line_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 200, min_left: int = 25, min_share: float = 0.3) -> DataFrame:
-    """One row per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept``.
+    """One row per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept, text_hash``.
 
     ``base_failed``: under 50 words, or over half the words in repeated 3-word windows. Of the others a
     document is kept unless removing lines that more than ``max_docs`` documents of its host have leaves
@@ -119,5 +119,5 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     both = own.unionByName(hits).groupBy("doc_id", "host", "th").agg(F.max("stats").alias("stats"), F.sum("removed").alias("removed"), F.count("stats").alias("copies"))
     n, left = F.col("stats.n_words"), F.col("stats.n_words") - F.expr("removed div copies")
     bad = (n < 50) | (100 * F.col("stats.n_repeat_words") > 50 * n)
-    rows = both.select("doc_id", "stats.*", bad.alias("base_failed"), left.alias("left_words"), (~bad & (left >= min_left) & (left >= min_share * n)).alias("kept"), "copies")
+    rows = both.select("doc_id", "stats.*", bad.alias("base_failed"), left.alias("left_words"), (~bad & (left >= min_left) & (left >= min_share * n)).alias("kept"), F.col("th").alias("text_hash"), "copies")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

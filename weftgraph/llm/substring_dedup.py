@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, middle
@@ -94,8 +94,8 @@ def _remainder(text: bytes, words: list[bytes], spans: list[tuple[int, int]]) ->
     return b"".join(out)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 13, with_text: bool = True) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, spans, kept_sha256[, text]``.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 13, with_text: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_removed, spans, kept_sha256[, text]`` and the columns of ``keep``.
 
     Words covered by a window of ``n`` words that also starts in a document with a smaller id are removed;
     windows are those of the input. ``kept_sha256`` is of the kept words joined by one space; ``text`` keeps
@@ -105,7 +105,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     small_batches(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = {f"keep_{k}": c for k, c in enumerate((keep or {}).values())}
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in carried.items()])
     layout = Layout.of(docs, text_bytes(narrow))
     dealt = in_chunks(narrow, layout, F.col("doc_id"), F.octet_length("text"))
     bits = layout.bits
@@ -163,7 +164,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out.append((c, table.column("bucket")[0].as_py(), got.tobytes(), _EMPTY))
         return block_rows(out)
 
-    kinds = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_sha256 string" + (", text string" if with_text else "")
+    types = dict(narrow.dtypes)
+    kinds = "".join(f"{k} {types[k]}, " for k in carried) + "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_sha256 string" + (", text string" if with_text else "")
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts, ids, known = _texts(table)
@@ -200,9 +202,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if with_text:
             null = table.column("text").is_null().to_pylist()
             columns.append(pa.array([None if x else k for x, k in zip(null, kept)], pa.binary()).cast(pa.string()))
-        return pa.table(columns, ["doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["text"] if with_text else [])])
+        columns = [*(table.column(k) for k in carried), *columns]
+        return pa.table(columns, [*carried, "doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["text"] if with_text else [])])
 
     chunked = dealt.groupBy("chunk")
     many = chunked.applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(shared, ROWS)
     dated = chunked.cogroup(many.groupBy("chunk")).applyInArrow(ask_more, ROWS).groupBy("bucket").applyInArrow(earlier, ROWS)
-    return chunked.cogroup(dated.groupBy("chunk")).applyInArrow(parse, kinds)
+    out = chunked.cogroup(dated.groupBy("chunk")).applyInArrow(parse, kinds)
+    return out.withColumnsRenamed(dict(zip(carried, keep or {})))
