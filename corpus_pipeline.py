@@ -1,6 +1,73 @@
-STAGES: list = []
+"""A corpus pipeline: language, quality, near duplicates, repeated passages, packing.
+
+Each stage takes the Parquet that the one before wrote. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import jaccard_join, langid, packing, quality, substring_dedup
+from weftgraph.plans.lineage import written
+
+#: The least cosine with the best language prototype; junk and unlearned scripts lie below.
+LEAST_COSINE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labels teach; no text, no letters or no likeness go."""
+    columns = docs.columns
+    found = langid.predict(docs, langid.learn(docs), keep={c: F.col(c) for c in columns})
+    lang, score = found.columns[-2:]
+    kept = found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_COSINE))
+    return kept.toDF("__id", *[f"c{k}" for k in range(len(columns))], "__lang", "__score").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    rejected = quality.apply_rules(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    text = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__hash")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    found = jaccard_join.join(docs, n=5, percent=80)
+    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has."""
+    columns = [c for c in docs.columns if c != "text"]
+    found = substring_dedup.remove_repeats(docs, keep={f"__{k}": F.col(c) for k, c in enumerate(columns)})
+    kept = {c: F.col(f"__{k}") for k, c in enumerate(columns)} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        kept["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*[kept[c].alias(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two length."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packed),
+]
+
+#: SQL has neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
