@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out.append((c, table.column("bucket")[0].as_py(), got.tobytes(), _EMPTY))
         return block_rows(out)
 
-    types = dict(narrow.dtypes)
+    types, names = dict(narrow.dtypes), list(carried)
     kinds = "".join(f"{k} {types[k]}, " for k in carried) + "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_sha256 string" + (", text string" if with_text else "")
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -202,8 +202,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if with_text:
             null = table.column("text").is_null().to_pylist()
             columns.append(pa.array([None if x else k for x, k in zip(null, kept)], pa.binary()).cast(pa.string()))
-        columns = [*(table.column(k) for k in carried), *columns]
-        return pa.table(columns, [*carried, "doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["text"] if with_text else [])])
+        columns = [*(table.column(k) for k in names), *columns]
+        return pa.table(columns, [*names, "doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["text"] if with_text else [])])
 
     chunked = dealt.groupBy("chunk")
     many = chunked.applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(shared, ROWS)
