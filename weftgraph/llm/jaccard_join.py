@@ -222,10 +222,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     groups = connected_components(links, "a", "b")
 
     placed = salted.join(groups.select(F.col("id").alias("tid"), "component"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    tiled = placed.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    tiled = tiled.select("tid", "n", "vector", "component", "key", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
-    task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(layout.chunks)).cast("int")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "lo")
+    tiled = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    tiled = tiled.select("tid", "n", "vector", "component", "key", "lo", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
+    # keys that meet in the same component go to a few tasks, where a pair with many common keys is found once
+    task = F.pmod(F.xxhash64("lo", F.pmod("key", F.lit(4)), "low", "high"), F.lit(layout.chunks)).cast("int")
 
     def bridges(table: pa.Table) -> pa.Table:
         keys, lows, highs, sizes = (table.column(c).to_numpy() for c in ("key", "low", "high", "n"))
