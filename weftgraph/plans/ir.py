@@ -263,7 +263,7 @@ def walk(x: Any):
         yield from walk(y)
 
 
-AGGREGATES = {"count", "sum", "avg", "mean", "min", "max", "collect", "stdev", "stddev", "stdevp", "stddevp", "percentiledisc", "percentile_disc", "percentilecont", "percentile_cont", "first", "last", "sample", "group_concat"}
+AGGREGATES = {"count", "sum", "avg", "mean", "min", "max", "collect", "stdev", "stddev", "stdevp", "stddevp", "percentiledisc", "percentile_disc", "percentilecont", "percentile_cont"}
 
 
 def has_aggregate(e: Any) -> bool:

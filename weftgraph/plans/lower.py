@@ -352,10 +352,13 @@ class Lowering:
         props = [c for c in df.columns if c not in ("id", "labels") and (c in used or "*" in used)]
         columns = [col("id").alias(f"{pat.var}@id"), col("labels").alias(f"{pat.var}@labels")]
         df = df.select(*columns, *[col(p).alias(f"{pat.var}:{p}") for p in props])
-        return self.props(Frame(df, {pat.var: "node"}), pat)
+        return self.props(Frame(df, {pat.var: "node"}), pat, constant=True)
 
-    def props(self, frame: Frame, pat) -> Frame:
+    def props(self, frame: Frame, pat, constant: bool | None = None) -> Frame:
+        """Inline properties as conditions; with ``constant`` only those that use no variable, or only the others."""
         for key, e in pat.props:
+            if constant is not None and constant == any(isinstance(x, ir.Var) for x in ir.walk(e)):
+                continue
             frame = frame.with_df(frame.df.where(self.property(frame, ir.Var(pat.var), key, None) == self.expr(frame, e)))
         return frame
 
@@ -370,6 +373,7 @@ class Lowering:
         else:
             scan = self.node_scan(first)
             frame = scan if not frame.kinds else frame.bind(frame.df.crossJoin(scan.df), **scan.kinds)
+            frame = self.props(frame, first, constant=False)
         lengths: list[Column] = []
         for i in range(start, len(p.edges)):
             frame = self.hop(frame, p.nodes[i], p.edges[i], p.nodes[i + 1])
@@ -395,7 +399,7 @@ class Lowering:
         df = self.graph.scan_edges(e.types, with_id)
         props = [c for c in df.columns if c not in ("id", "src", "dst", "type") and (c in used or "*" in used or any(k == c for k, _ in e.props))]
         columns = [col("src").alias(f"{e.var}@src"), col("dst").alias(f"{e.var}@dst"), col("type").alias(f"{e.var}@type"), *([col("id").alias(f"{e.var}@id")] if with_id else []), *[col(x).alias(f"{e.var}:{x}") for x in props]]
-        table = self.props(Frame(df.select(*columns), {e.var: "edge"}), e).df
+        table = self.props(Frame(df.select(*columns), {e.var: "edge"}), e, constant=True).df
         out = table.select(col(f"{e.var}@src").alias("_from"), col(f"{e.var}@dst").alias("_to"), "*")
         back = table.select(col(f"{e.var}@dst").alias("_from"), col(f"{e.var}@src").alias("_to"), "*")
         ends = {"out": [f.to_labels for f in frames], "in": [f.from_labels for f in frames]}.get(e.direction, [f.to_labels for f in frames] + [f.from_labels for f in frames])
@@ -409,16 +413,16 @@ class Lowering:
         else:
             table, ends = self.edge_table(e, with_id=not e.anonymous and bool({"@id", "*"} & used))
             df = frame.df.join(table, col(f"{a.var}@id") == F.col("_from")).drop("_from")
-            frame = frame.bind(df) if e.anonymous else frame.bind(df, **{e.var: "edge"})
+            frame = self.props(frame.bind(df, **{e.var: "edge"}), e, constant=False)
             if e.anonymous:
-                frame = frame.with_df(frame.df.drop(*frame.columns_of(e.var)))
+                frame = Frame(frame.df.drop(*frame.columns_of(e.var)), {v: k for v, k in frame.kinds.items() if v != e.var})
         if b.var in frame.kinds:
             return self.check(frame.with_df(frame.df.where(F.col("_to") == col(f"{b.var}@id")).drop("_to")), b)
         need = self.used.get(b.var, set()) - {"@id"}
         if not need and set(b.labels) <= ends and not b.props:
             return frame.bind(frame.df.withColumnRenamed("_to", f"{b.var}@id"), **{b.var: "node"})
         scan = self.node_scan(b, ends)
-        return frame.bind(frame.df.join(scan.df, F.col("_to") == col(f"{b.var}@id")).drop("_to"), **scan.kinds)
+        return self.props(frame.bind(frame.df.join(scan.df, F.col("_to") == col(f"{b.var}@id")).drop("_to"), **scan.kinds), b, constant=False)
 
     def hops(self, frame: Frame, a: ir.NodePat, e: ir.EdgePat, b: ir.NodePat) -> tuple[Frame, frozenset[str]]:
         table, ends = self.edge_table(e, with_id=True)
@@ -440,6 +444,7 @@ class Lowering:
             else:
                 scan = self.node_scan(n)
                 frame = scan if not frame.kinds else frame.bind(frame.df.crossJoin(scan.df), **scan.kinds)
+                frame = self.props(frame, n, constant=False)
         table, _ = self.edge_table(e, with_id=False)
         pairs = frame.df.select(col(f"{a.var}@id").alias("_a"), col(f"{b.var}@id").alias("_b")).distinct()
         found = paths.shortest_paths(pairs, table.select("_from", "_to"), e.high if e.high is not None else None)
