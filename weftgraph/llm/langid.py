@@ -70,18 +70,14 @@ def _places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_places(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different n-grams of the texts (rows of code points), and for each n-gram in order: its text, its place in that list."""
     lower, letter = _letters()
-    flat = np.frombuffer("".join(["\n" + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    flat = np.frombuffer("".join([f"\n{t}\n" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)))
     is_letter = letter[flat]
     keep = is_letter.copy()
-    keep[:-1] |= is_letter[1:]  # the border before a word; it also ends the word before, if any
-    ends = np.flatnonzero(is_letter & ~np.r_[is_letter[1:], False])
-    ends = ends[ends + 1 < len(flat)]
-    keep[ends + 1] = True
+    keep[:-1] |= is_letter[1:]  # the border before a word
+    keep[1:] |= is_letter[:-1]  # the border after a word
     codes = np.where(is_letter, lower[flat], 0)[keep]
     owner, word = owner[keep], is_letter[keep]
-    if len(codes) and word[-1]:
-        codes, owner, word = np.r_[codes, 0], np.r_[owner, owner[-1]], np.r_[word, False]
     small, coded = _places(codes, 0x110000)
     size, m = max(2, len(small)), len(codes) - n + 1
     if m <= 0:
