@@ -173,15 +173,17 @@ def test_log_frequency_filter():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 1 << 62, 20_000, dtype=np.uint64))
     counts = rng.integers(1, 500, len(h))
-    bits, n, least = lm_scoring.segment(h, counts, 1.5, 4, 10.0, 1 << 24)
+    bits, n, kept = lm_scoring.segment(h, counts, 1.5, 4, 10.0, 1 << 24)
     f = lm_scoring.LogFrequencyFilter(np.frombuffer(bits, np.uint8), np.zeros(1 << 3, np.int64), np.full(1 << 3, n), 3, 1.5, 4)
     want = 1 + np.floor(np.log(counts) / np.log(1.5) + 1e-9)
     got = f.levels(h)
-    assert least == 1 and (got >= want).all() and (got == want).mean() > 0.9
+    assert kept == len(h) and (got >= want).all() and (got == want).mean() > 0.9
     absent = rng.integers(1 << 62, 1 << 63, 20_000, dtype=np.uint64)
     assert (f.levels(absent) > 0).mean() < 0.05
     # a bound too small for all keeps the most frequent
-    assert lm_scoring.segment(h, counts, 1.5, 4, 10.0, 1 << 19)[2] > 1
+    bits, n, kept = lm_scoring.segment(h, counts, 1.5, 4, 10.0, 1 << 19)
+    part = lm_scoring.LogFrequencyFilter(np.frombuffer(bits, np.uint8), np.zeros(1 << 3, np.int64), np.full(1 << 3, n), 3, 1.5, 4)
+    assert 0 < kept < len(h) and (part.levels(h[counts > 450]) > 0).all()
 
 
 def test_neighbours(spark):

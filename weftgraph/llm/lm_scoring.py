@@ -9,8 +9,8 @@ The probability of a word after another is the pair's count, smoothed towards th
 if ``kappa`` more words had been drawn from it (Dirichlet smoothing); the word's own is add-one.
 
 The filter's size is bounded by ``max_filter_bytes``. Up to it the filter grows with the corpus at
-``bits_per_entry``; beyond it each segment keeps its most frequent n-grams that fit, by raising the least
-count it holds (reported as ``min_count``). Base scores never use the filter: they take exact counts.
+``bits_per_entry``; beyond it each segment holds its most frequent n-grams, as many as fit, and ``coverage``
+reports the share of different n-grams that the filter holds. Base scores never use the filter: they take exact counts.
 """
 
 from __future__ import annotations
@@ -98,27 +98,23 @@ class LogFrequencyFilter:
 
 
 def segment(hashes: np.ndarray, counts: np.ndarray, base: float, probes: int, bits_per_entry: float, most: int) -> tuple[bytes, int, int]:
-    """One bucket's bits, their number, and the least count that they hold."""
+    """One bucket's bits, their number, and how many n-grams they hold: all, or the most frequent that fit."""
     level = 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
-    least, entries = 1, int(level.sum())
-    if entries * bits_per_entry > most:
-        order = np.argsort(-counts, kind="stable")
-        fits = np.searchsorted(np.cumsum(level[order]) * bits_per_entry, most, "right")
-        least = int(counts[order[fits]]) + 1 if fits < len(order) else 1
-        keep = counts >= least
-        hashes, level = hashes[keep], level[keep]
-        entries = int(level.sum())
-    n = min(most, max(64, int(entries * bits_per_entry))) // 8 * 8
+    if int(level.sum()) * bits_per_entry > most:
+        order = np.lexsort((hashes, -counts))
+        order = order[: np.searchsorted(np.cumsum(level[order]) * bits_per_entry, most, "right")]
+        hashes, level = hashes[order], level[order]
+    n = min(most, max(64, int(level.sum() * bits_per_entry))) // 8 * 8
     flags = np.zeros(n, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         for place in LogFrequencyFilter.places(hashes[level >= j], j, probes):
             flags[(place % np.uint64(n)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes(), n, least
+    return np.packbits(flags, bitorder="little").tobytes(), n, len(hashes)
 
 
-def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes: int, bits_per_entry: float, max_filter_bytes: int) -> tuple[LogFrequencyFilter, int, int, int]:
-    """The filter of all training texts, with their number of tokens, of different tokens, and the largest
-    least count of a segment."""
+def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes: int, bits_per_entry: float, max_filter_bytes: int) -> tuple[LogFrequencyFilter, int, int, float]:
+    """The filter of all training texts, with their number of tokens, of different tokens, and the share of
+    different n-grams in the filter."""
     bits = layout.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +159,11 @@ def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes:
                 if order == 1:
                     own = h != START
                     n_tokens, n_types = int(c[own].sum()), int(own.sum())
-        found, n, least = segment(np.concatenate(hs), np.concatenate(cs), base, probes, bits_per_entry, max(64, most))
-        return pa.table([[table.column("bucket")[0].as_py()], [found], [n], [least], [n_tokens], [n_types]], pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("least", pa.int64()), ("n_tokens", pa.int64()), ("n_types", pa.int64())]))
+        found, n, kept = segment(np.concatenate(hs), np.concatenate(cs), base, probes, bits_per_entry, max(64, most))
+        return pa.table([[table.column("bucket")[0].as_py()], [found], [n], [kept], [sum(map(len, hs))], [n_tokens], [n_types]], pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("kept", pa.int64()), ("grams", pa.int64()), ("n_tokens", pa.int64()), ("n_types", pa.int64())]))
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(count, ROWS).groupBy("bucket").applyInArrow(fill, "bucket int, bits binary, n long, least long, n_tokens long, n_types long").collect()
+    rows = texts.mapInArrow(count, ROWS).groupBy("bucket").applyInArrow(fill, "bucket int, bits binary, n long, kept long, grams long, n_tokens long, n_types long").collect()
     size, begin, packed = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), []
     at = 0
     for row in sorted(rows, key=lambda r: r["bucket"]):
@@ -175,7 +171,7 @@ def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes:
         packed.append(bytes(row["bits"]))
         at += row["n"]
     whole = np.frombuffer(b"".join(packed), np.uint8) if packed else np.zeros(1, np.uint8)
-    return LogFrequencyFilter(whole, begin, size, bits, base, probes), sum(r["n_tokens"] for r in rows), sum(r["n_types"] for r in rows), max((r["least"] for r in rows), default=1)
+    return LogFrequencyFilter(whole, begin, size, bits, base, probes), sum(r["n_tokens"] for r in rows), sum(r["n_types"] for r in rows), sum(r["kept"] for r in rows) / max(1, sum(r["grams"] for r in rows))
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -190,8 +186,8 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, probes: int = 4, bits_per_entry: float = 8.0, max_filter_bytes: int = 1 << 26, kappa: float = 60.0) -> DataFrame:
-    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, min_count``.
+def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, probes: int = 4, bits_per_entry: float = 6.0, max_filter_bytes: int = 1 << 27, kappa: float = 60.0) -> DataFrame:
+    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, coverage``.
 
     ``training`` is a boolean column: which documents the model learns from; the others are ``held_out``.
     Tokens are words in lower case (A-Z) and one end. ``base_score`` sums log10((c+1)/(N+V+1)) with exact
@@ -203,7 +199,7 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     layout = Layout.of(docs, text_bytes(narrow))
-    filter_, n_train, n_types, least = fit(narrow.where("train"), layout, text_col="text", base=base, probes=probes, bits_per_entry=bits_per_entry, max_filter_bytes=max_filter_bytes)
+    filter_, n_train, n_types, coverage = fit(narrow.where("train"), layout, text_col="text", base=base, probes=probes, bits_per_entry=bits_per_entry, max_filter_bytes=max_filter_bytes)
     sent = spark.sparkContext.broadcast(filter_)
     dealt = in_chunks(narrow, layout, F.col("doc_id"), F.octet_length("text"))
     bits, total = layout.bits, float(n_train + n_types + 1)
@@ -261,9 +257,9 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
             scores.append(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts))
         n = len(texts)
         train = table.column("train").to_numpy()
-        columns = [table.column("doc_id").combine_chunks(), pa.array(~train), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (n_tokens, n_known)), pa.array(np.full(n, n_train, np.int64)), *(pa.array(np.concatenate(c)) for c in (base_score, scores)), pa.array(np.full(n, least, np.int64))]
-        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "min_count"])
+        columns = [table.column("doc_id").combine_chunks(), pa.array(~train), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (n_tokens, n_known)), pa.array(np.full(n, n_train, np.int64)), *(pa.array(np.concatenate(c)) for c in (base_score, scores)), pa.array(np.full(n, coverage))]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "coverage"])
 
     chunked = dealt.groupBy("chunk")
     answers = chunked.applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(answer, ROWS)
-    return chunked.cogroup(answers.groupBy("chunk")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, min_count long")
+    return chunked.cogroup(answers.groupBy("chunk")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, coverage double")
