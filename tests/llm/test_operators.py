@@ -294,20 +294,25 @@ def test_jaccard_join(docs, texts, empty, n, percent):
         assert jaccard_join.join(empty, n=n, percent=percent).count() == 0
 
 
-def test_count_tree_loses_nothing():
+def test_count_tree_loses_nothing_and_prunes():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
     sets = []
-    for _ in range(300):
-        s = base[rng.random(200) < 0.97] if rng.random() < 0.5 else rng.integers(0, 1 << 62, rng.integers(5, 300), dtype=np.uint64)
-        sets.append(np.unique(s))
-    at, sizes = count_tree.points([count_tree.count_vector(s) for s in sets]), np.array(list(map(len, sets)))
-    tree = count_tree.CountTree(at, sizes)
+    for size in (200, 520, 1030, 6000):  # around borders between numbers of groups
+        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        sets += [np.unique(np.r_[base[rng.random(size) < 0.97], rng.integers(0, 1 << 62, 9, dtype=np.uint64)]) for _ in range(30)]
+        sets += [np.unique(rng.integers(0, 1 << 62, size - rng.integers(20), dtype=np.uint64)) for _ in range(30)]
+    sizes = np.array(list(map(len, sets)))
+    forest = count_tree.CountForest([count_tree.count_vector(s) for s in sets], sizes)
+    kept = 0
     for i, s in enumerate(sets):
-        near, _ = tree.search(at[i], len(s), 85)
+        near, _ = forest.search(i, 85)
+        kept += len(near)
+        assert len(near) == len(set(near.tolist()))
         for j, t in enumerate(sets):
             both = len(np.intersect1d(s, t))
             assert j in near or 100 * both < 85 * (len(s) + len(t) - both)
+            assert count_tree.pair_bound(count_tree.count_vector(s), len(s), count_tree.count_vector(t), len(t)) >= both
+    assert kept < 4 * 30 * 31 + 200  # little but the true pairs
 
 
 def test_substring_dedup(docs, texts, empty):

@@ -25,7 +25,7 @@ from ..algo.components import connected_components
 from ..plans.lineage import cut, written
 from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, middle
 from .common import small_batches, text_bytes
-from .count_tree import CountTree, count_vector, needed, points
+from .count_tree import CountForest, count_vector, near_in_size, needed, pair_bound
 from .lm_scoring import _packed, _summed, _unpacked
 from .words import hashed, parts, windows
 
@@ -97,6 +97,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     component has none; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    if percent <= 50:
+        raise ValueError("percent must be above 50")
     small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tid", F.unhex(F.md5("text")))
@@ -179,7 +181,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
         two = bounds[:-1][widths == 2]
         if len(two):
             a, b = order[two], order[two + 1]
-            bound = np.minimum(points([vectors[i] for i in a]), points([vectors[i] for i in b])).sum(1, dtype=np.int64)
+            ok = near_in_size(sizes[a], sizes[b], percent)
+            a, b = a[ok], b[ok]
+            bound = np.array([pair_bound(vectors[i], sizes[i], vectors[j], sizes[j]) for i, j in zip(a, b)], np.int64)
             hit = bound >= needed(sizes[a], sizes[b], percent)
             less = np.where(typical[a] != typical[b], typical[a] > typical[b], rank[a] < rank[b])
             for x, y, o in zip(np.where(less, b, a)[hit].tolist(), np.where(less, a, b)[hit].tolist(), _estimate(bound, sizes[a], sizes[b])[hit].tolist()):
@@ -187,12 +191,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
         for g in np.flatnonzero(widths > 2):
             rows = order[bounds[g] : bounds[g + 1]]
             rows = rows[np.lexsort((rank[rows], -typical[rows]))]
-            at, own = points([vectors[i] for i in rows]), sizes[rows]
-            tree, free = CountTree(at, own), np.ones(len(rows), bool)
+            own = sizes[rows]
+            tree, free = CountForest([vectors[i] for i in rows], own), np.ones(len(rows), bool)
             for i in range(len(rows)):
                 if free[i]:
                     free[i] = False
-                    near, bound = tree.search(at[i], int(own[i]), percent)
+                    near, bound = tree.search(i, percent)
                     take = free[near]
                     near, bound = near[take], bound[take]
                     free[near] = False
@@ -239,8 +243,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
         two = bounds[:-1][widths == 2]
         if len(two):
             a, b = order[two], order[two + 1]
-            bound = np.minimum(points([vectors[i] for i in a]), points([vectors[i] for i in b])).sum(1, dtype=np.int64)
-            hit = (bound >= needed(sizes[a], sizes[b], percent)) & (component[a] != component[b])
+            ok = near_in_size(sizes[a], sizes[b], percent) & (component[a] != component[b])
+            a, b = a[ok], b[ok]
+            bound = np.array([pair_bound(vectors[i], sizes[i], vectors[j], sizes[j]) for i, j in zip(a, b)], np.int64)
+            hit = bound >= needed(sizes[a], sizes[b], percent)
             for x, y in zip(a[hit].tolist(), b[hit].tolist()):
                 x, y = (x, y) if rank[x] < rank[y] else (y, x)
                 pairs[int(rank[x]), int(rank[y])] = (x, y, 0.0)
@@ -250,10 +256,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
             kinds, size_of = np.unique(own, return_counts=True)
             if len(kinds) < 2:
                 continue
-            at, n_own = points([vectors[i] for i in rows]), sizes[rows]
-            tree = CountTree(at, n_own)
+            tree = CountForest([vectors[i] for i in rows], sizes[rows])
             for i in np.flatnonzero(own != kinds[size_of.argmax()]):  # a pair has at least one outside the largest component
-                near, _ = tree.search(at[i], int(n_own[i]), percent)
+                near, _ = tree.search(i, percent)
                 for j in near[own[near] != own[i]].tolist():
                     x, y = (rows[i], rows[j]) if rank[rows[i]] < rank[rows[j]] else (rows[j], rows[i])
                     pairs[int(rank[x]), int(rank[y])] = (int(x), int(y), 0.0)
