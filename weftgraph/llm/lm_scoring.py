@@ -29,6 +29,7 @@ from .words import hashed, parts
 
 END, START = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x106689D45497FDB5)
 FLUSH = 3_000_000
+LEVEL_STEP = 0x9E3779B97F4A7C15
 
 
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -69,7 +70,7 @@ class LogFrequencyFilter:
 
     @staticmethod
     def places(hashes: np.ndarray, level: int, probes: int) -> Iterator[np.ndarray]:
-        one = mix(hashes + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+        one = mix(hashes + np.uint64(level * LEVEL_STEP % (1 << 64)))
         two = mix(one) | np.uint64(1)
         for k in range(probes):
             yield one + np.uint64(k) * two
@@ -82,12 +83,14 @@ class LogFrequencyFilter:
         level = 0
         while len(live) and level < 200:
             level += 1
-            for place in range(self.probes):
-                if not len(live):
-                    break
-                spot = next(p for k, p in enumerate(self.places(hashes[live], level, place + 1)) if k == place)
-                at = self.begin[bucket[live]] + (spot % self.size[bucket[live]].astype(np.uint64)).astype(np.int64)
-                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            one = mix(hashes[live] + np.uint64(level * LEVEL_STEP % (1 << 64)))
+            two = mix(one) | np.uint64(1)
+            for _ in range(self.probes):
+                own = bucket[live]
+                at = self.begin[own] + (one % self.size[own].astype(np.uint64)).astype(np.int64)
+                there = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                live, two = live[there], two[there]
+                one = one[there] + two
             out[live] = level
         return out
 
