@@ -64,3 +64,25 @@ def block_rows(rows: list[tuple]) -> pa.Table:
     """Rows of (chunk, bucket, a, b) as a table."""
     cols = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "a", "b"])
+
+
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes in order, and the sum of each one's counts."""
+    h, c = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return h[starts], np.add.reduceat(c, starts) if len(h) else c
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in one byte each, those of 255 and more behind in full."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+
+
+def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that :func:`packed_counts` made bytes of."""
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return out

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words, as a regular expression's class: space and ASCII tab to carriage return.
-SPACES = r"[ \t-\r]"
 #: The longest Arrow batch in rows; documents may be long, so the default of 10,000 would hold too much.
 BATCH_ROWS = 2000
 
@@ -26,11 +21,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def fresh(prefix: str) -> str:
-    """A column name that no table has."""
-    return f"__{prefix}_{uuid.uuid4().hex[:8]}"
-
-
 def held_out(doc_id: str, modulus: int, remainder: int):
     """crc32 of the id's decimal text, modulo; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -46,7 +36,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from ..algo.components import connected_components
 from ..plans.lineage import cut, written
-from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, middle
+from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, middle, packed_counts, summed, unpacked_counts
 from .common import small_batches, text_bytes
 from .count_tree import CountForest, count_vector, near_in_size, needed, pair_bound
-from .lm_scoring import _packed, _summed, _unpacked
 from .words import hashed, parts, windows
 
 #: Nodes at a key that are looked at together.
@@ -115,21 +114,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
         hashes, counts = np.unique(shingles(texts, n)[0], return_counts=True)
         chunk, out = table.column("chunk")[0].as_py(), []
         for b, s in by_bucket(hashes, bits):
-            prints, c = _summed([middle(hashes[s], bits)], [counts[s]])
-            out.append((chunk, b, prints.astype("<u4").tobytes(), _packed(c)))
+            prints, c = summed([middle(hashes[s], bits)], [counts[s]])
+            out.append((chunk, b, prints.astype("<u4").tobytes(), packed_counts(c)))
         return block_rows(out)
 
     def answer(table: pa.Table) -> pa.Table:
         chunks, blobs, extra = (table.column(c).to_pylist() for c in ("chunk", "a", "b"))
         sizes = [len(x) // 4 for x in blobs]
         prints = np.frombuffer(b"".join(blobs), "<u4")
-        counts = np.concatenate([_unpacked(e, k) for e, k in zip(extra, sizes)])
+        counts = np.concatenate([unpacked_counts(e, k) for e, k in zip(extra, sizes)])
         _, where = np.unique(prints, return_inverse=True)
         total = np.bincount(where, counts.astype(np.float64)).astype(np.int64)[where]
         bucket, at, out = table.column("bucket")[0].as_py(), 0, []
         for c, k in zip(chunks, sizes):
             if (total[at : at + k] > 1).any():
-                out.append((c, bucket, _packed(total[at : at + k]), b""))
+                out.append((c, bucket, packed_counts(total[at : at + k]), b""))
             at += k
         return block_rows(out)
 
@@ -145,7 +144,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
             for b, s in by_bucket(known, bits):
                 if b in of:
                     prints, place = np.unique(middle(known[s], bits), return_inverse=True)
-                    common[s] = _unpacked(of[b], len(prints))[place]
+                    common[s] = unpacked_counts(of[b], len(prints))[place]
             common = common[where]
             for i, tid in enumerate(tids):
                 own, df = hashes[ends[i] : ends[i + 1]], common[ends[i] : ends[i + 1]]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined
+from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, packed_counts, summed, unpacked_counts
 from .common import mix, small_batches, text_bytes
 from .words import hashed, parts
 
@@ -51,14 +51,6 @@ def before(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    return h[starts], np.add.reduceat(c, starts) if len(h) else c
-
-
 @dataclass(frozen=True)
 class LogFrequencyFilter:
     bits: np.ndarray  # all segments, packed
@@ -132,9 +124,9 @@ def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes:
             rows = []
             for order, (h, c) in held.items():
                 if h:
-                    h, c = _summed(h, c)
+                    h, c = summed(h, c)
                     for b, s in by_bucket(h, bits):
-                        rows.append((order, b, h[s].astype("<u8").tobytes(), _packed(c[s])))
+                        rows.append((order, b, h[s].astype("<u8").tobytes(), packed_counts(c[s])))
                 held[order] = ([], [])
             yield from block_rows(rows).to_batches()
 
@@ -156,7 +148,7 @@ def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes:
         for order in (1, 2):
             of = [k for k, o in enumerate(orders) if o == order]
             if of:
-                h, c = _summed([np.frombuffer(blobs[k], "<u8") for k in of], [_unpacked(extra[k], len(blobs[k]) // 8) for k in of])
+                h, c = summed([np.frombuffer(blobs[k], "<u8") for k in of], [unpacked_counts(extra[k], len(blobs[k]) // 8) for k in of])
                 hs.append(h)
                 cs.append(c)
                 if order == 1:
@@ -177,18 +169,6 @@ def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes:
     return LogFrequencyFilter(whole, begin, size, bits, base, probes), sum(r["n_tokens"] for r in rows), sum(r["n_types"] for r in rows), sum(r["kept"] for r in rows) / max(1, sum(r["grams"] for r in rows))
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in one byte each, those of 255 and more behind in full."""
-    large = counts >= 255
-    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
-
-
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
-    return out
-
-
 def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, probes: int = 4, bits_per_entry: float = 6.0, max_filter_bytes: int = 1 << 27, kappa: float = 60.0) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, coverage``.
 
@@ -220,25 +200,25 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
             weight = np.repeat(train[low : low + len(part)], np.diff(ends)).astype(np.float64)
             held.append(h)
             learnt.append(np.bincount(where, weight, minlength=len(h)).astype(np.int64))
-        h, c = _summed(held, learnt)
+        h, c = summed(held, learnt)
         chunk = table.column("chunk")[0].as_py()
-        return block_rows([(chunk, b, h[s].astype("<u8").tobytes(), _packed(c[s])) for b, s in by_bucket(h, bits)])
+        return block_rows([(chunk, b, h[s].astype("<u8").tobytes(), packed_counts(c[s])) for b, s in by_bucket(h, bits)])
 
     def answer(table: pa.Table) -> pa.Table:
         chunks, blobs, extra = (table.column(c).to_pylist() for c in ("chunk", "a", "b"))
         h, came = joined(blobs, "<u8")
-        c = np.concatenate([_unpacked(e, len(x) // 8) for e, x in zip(extra, blobs)])
+        c = np.concatenate([unpacked_counts(e, len(x) // 8) for e, x in zip(extra, blobs)])
         _, where = np.unique(h, return_inverse=True)
         sums = np.bincount(where, c.astype(np.float64)).astype(np.int64)[where]
         bounds = np.searchsorted(came, np.arange(len(chunks) + 1))
         bucket = table.column("bucket")[0].as_py()
-        return block_rows([(k, bucket, _packed(sums[bounds[i] : bounds[i + 1]]), (int(bounds[i + 1] - bounds[i])).to_bytes(8, "little")) for i, k in enumerate(chunks)])
+        return block_rows([(k, bucket, packed_counts(sums[bounds[i] : bounds[i + 1]]), (int(bounds[i + 1] - bounds[i])).to_bytes(8, "little")) for i, k in enumerate(chunks)])
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = read(table)
         order = np.argsort(answers.column("bucket").to_numpy())
         a, b = answers.column("a").to_pylist(), answers.column("b").to_pylist()
-        known = np.concatenate([_unpacked(a[k], int.from_bytes(b[k], "little")) for k in order])
+        known = np.concatenate([unpacked_counts(a[k], int.from_bytes(b[k], "little")) for k in order])
         words = np.unique(np.concatenate([np.unique(sequences(part)[0]) for _, part in parts(texts)]))
         model = sent.value
         own = model.counts(words)
