@@ -37,14 +37,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.parquet(path)
 
-
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for file in df.inputFiles():
-        folder = file.rsplit("/", 1)[0]
-        if root.split(":", 1)[-1].strip("/") in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            return
