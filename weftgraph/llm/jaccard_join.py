@@ -8,7 +8,8 @@
    Keys that many nodes have are split by salt. The first pass proposes for each node one partner: the most
    typical node that may reach the threshold. Proposals are verified on the sets, links give components.
 3. The second pass goes over keys at which different components still meet, all of their nodes against each
-   other in tiles, and proposes every pair of different components that the bounds allow. So no link between
+   other in tiles, and proposes every pair of different components that the bounds allow: after the trees' one
+   that of a count vector so fine that it is nearly the overlap itself. So no link between
    different components is missed, and a group of near copies is never expanded into all its pairs.
 """
 
@@ -63,7 +64,9 @@ def _nodes(table: pa.Table, wanted: set[bytes]) -> tuple[list[bytes], list[bytes
     return list(found), list(found.values())
 
 
-NODE = "tid binary, n long, keys array<long>, splits array<int>, vector binary, typical double, shingles binary"
+NODE = "tid binary, n long, keys array<long>, splits array<int>, vector binary, typical double, shingles binary, fine binary"
+#: Groups of the fine count vector, kept as the list of its elements' groups: two bytes for an element.
+FINE = 1 << 16
 PAIR = "a binary, b binary, bound double"
 
 
@@ -153,12 +156,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
                 prefix = prefix[df[prefix] > 1]
                 if len(prefix):
                     splits = -(-df[prefix] // TILE)
-                    rows.append((tid, size, own[prefix].view(np.int64).tolist(), splits.tolist(), count_vector(own), float(np.log2(df).mean()), own.astype("<u8").tobytes()))
+                    rows.append((tid, size, own[prefix].view(np.int64).tolist(), splits.tolist(), count_vector(own), float(np.log2(df).mean()), own.astype("<u8").tobytes(), np.sort(own.astype("<u2")).tobytes()))
                 else:
-                    rows.append((tid, size, None, None, None, None, None))
-        columns = list(zip(*rows)) if rows else [[] for _ in range(7)]
-        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.float64(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["tid", "n", "keys", "splits", "vector", "typical", "shingles"])
+                    rows.append((tid, size, *[None] * 6))
+        columns = list(zip(*rows)) if rows else [[] for _ in range(8)]
+        kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["tid", "n", "keys", "splits", "vector", "typical", "shingles", "fine"])
 
     chunked = dealt.groupBy("chunk")
     answers = chunked.cogroup(chosen.groupBy("chunk")).applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(answer, ROWS)
@@ -228,12 +231,24 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "lo")
     tiled = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     tiled = tiled.select("tid", "n", "vector", "component", "key", "lo", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
+    tiled = tiled.join(nodes.select("tid", "fine"), "tid")
     # keys that meet in the same component go to a few tasks, where a pair with many common keys is found once
     task = F.pmod(F.xxhash64("lo", F.pmod("key", F.lit(4)), "low", "high"), F.lit(layout.chunks)).cast("int")
 
     def bridges(table: pa.Table) -> pa.Table:
         keys, lows, highs, sizes = (table.column(c).to_numpy() for c in ("key", "low", "high", "n"))
-        tids, vectors = table.column("tid").to_pylist(), table.column("vector").to_pylist()
+        tids, vectors, fine = (table.column(c).to_pylist() for c in ("tid", "vector", "fine"))
+        groups_of = [np.unique(np.frombuffer(x, "<u2"), return_counts=True) for x in fine]
+        dense = np.zeros(FINE, np.int64)
+
+        def may_link(i: int, others: list[int]) -> list[int]:
+            """Those of the others for which the fine count vectors, too, allow the threshold."""
+            cells, counts = groups_of[i]
+            dense[cells] = counts
+            left = [j for j in others if np.minimum(dense[groups_of[j][0]], groups_of[j][1]).sum() >= needed(sizes[i], sizes[j], percent)]
+            dense[cells] = 0
+            return left
+
         component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
         rank = np.argsort(np.argsort(np.array(tids, object), kind="stable"))
         order, bounds = _groups([keys, lows, highs])
@@ -247,8 +262,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
             bound = np.array([pair_bound(vectors[i], sizes[i], vectors[j], sizes[j]) for i, j in zip(a, b)], np.int64)
             hit = bound >= needed(sizes[a], sizes[b], percent)
             for x, y in zip(a[hit].tolist(), b[hit].tolist()):
-                x, y = (x, y) if rank[x] < rank[y] else (y, x)
-                pairs[int(rank[x]), int(rank[y])] = (x, y, 0.0)
+                if may_link(x, [y]):
+                    x, y = (x, y) if rank[x] < rank[y] else (y, x)
+                    pairs[int(rank[x]), int(rank[y])] = (x, y, 0.0)
         for g in np.flatnonzero(widths > 2):
             rows = order[bounds[g] : bounds[g + 1]]
             own = component[rows]
@@ -258,9 +274,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
             tree = CountForest([vectors[i] for i in rows], sizes[rows])
             for i in np.flatnonzero(own != kinds[size_of.argmax()]):  # a pair has at least one outside the largest component
                 near, _ = tree.search(i, percent)
-                for j in near[own[near] != own[i]].tolist():
-                    x, y = (rows[i], rows[j]) if rank[rows[i]] < rank[rows[j]] else (rows[j], rows[i])
-                    pairs[int(rank[x]), int(rank[y])] = (int(x), int(y), 0.0)
+                largest = kinds[size_of.argmax()]
+                # of two nodes outside the largest component the first looks for the second
+                todo = near[(own[near] != own[i]) & ((near > i) | (own[near] == largest))]
+                for y in may_link(int(rows[i]), rows[todo].tolist()):
+                    x, y = (int(rows[i]), y) if rank[rows[i]] < rank[y] else (y, int(rows[i]))
+                    pairs[int(rank[x]), int(rank[y])] = (x, y, 0.0)
         return _proposals(tids, list(pairs.values()))
 
     more = tiled.withColumn("task", task).groupBy("task").applyInArrow(bridges, PAIR).select("a", "b").distinct()
