@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +92,7 @@ def rows(df: DataFrame, subject: Column, pairs: dict[str, Column], graph: str =
     return each.where("t.o.value is not null").select("s", "t.p", "t.o", F.lit(graph).alias("g"))
 
 
+@lru_cache(maxsize=16)
 def commerce(spark: SparkSession, sf_dir: str, base: str = "http://example.org/") -> TripleStore:
     """Customers, nations, regions and orders as triples."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "orders")}

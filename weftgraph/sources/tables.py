@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,12 @@ def _edges(df: DataFrame, a: str, key_a: str, b: str, key_b: str, **props: str)
     return df.select(node_id(a, key_a).alias("src"), node_id(b, key_b).alias("dst"), *[F.col(c).alias(n) for n, c in props.items()])
 
 
+@lru_cache(maxsize=16)
 def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, orders, parts and users, with the edges between them.
 
     Nothing is read here beyond schemas: every frame is a lazy projection, so queries read only the columns
-    that they use.
+    that they use. The view is kept for each session and folder, as reading nine schemas costs more than a small query.
     """
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "orders", "part", "lineitem", "events", "documents")}
     g = PropertyGraph(spark)
