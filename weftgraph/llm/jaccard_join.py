@@ -238,14 +238,25 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     def bridges(table: pa.Table) -> pa.Table:
         keys, lows, highs, sizes = (table.column(c).to_numpy() for c in ("key", "low", "high", "n"))
         tids, vectors, fine = (table.column(c).to_pylist() for c in ("tid", "vector", "fine"))
-        groups_of = [np.unique(np.frombuffer(x, "<u2"), return_counts=True) for x in fine]
-        dense = np.zeros(FINE, np.int64)
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        dense = np.zeros(FINE, np.int32)
+
+        def groups_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            """A node's fine groups and their counts, worked out once however many keys it has here."""
+            if tids[i] not in known:
+                cells, counts = np.unique(np.frombuffer(fine[i], "<u2"), return_counts=True)
+                known[tids[i]] = cells, counts.astype(np.int32)
+            return known[tids[i]]
 
         def may_link(i: int, others: list[int]) -> list[int]:
             """Those of the others for which the fine count vectors, too, allow the threshold."""
-            cells, counts = groups_of[i]
+            cells, counts = groups_of(i)
             dense[cells] = counts
-            left = [j for j in others if np.minimum(dense[groups_of[j][0]], groups_of[j][1]).sum() >= needed(sizes[i], sizes[j], percent)]
+            left = []
+            for j in others:
+                own, n_own = groups_of(j)
+                if np.minimum(dense[own], n_own).sum() >= needed(sizes[i], sizes[j], percent):
+                    left.append(j)
             dense[cells] = 0
             return left
 

@@ -14,7 +14,8 @@ import xxhash
 
 from .common import mix
 
-PART_BYTES = 6_000_000
+#: Text whose words are held as Python objects at a time.
+PART_BYTES = 2_000_000
 
 
 def parts(texts: list[bytes], size: int = PART_BYTES) -> Iterator[tuple[int, list[bytes]]]:
