@@ -46,3 +46,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = queries.QUERIES["expand_1hop"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,100000.0)" in plan or "GreaterThan(o_totalprice" in plan
     assert "o_orderpriority" not in plan and "c_acctbal" not in plan
+
+
+def test_queries_without_sql_see_every_order(spark, tmp_path):
+    """A triangle of parts 1, 2, 3 and the bridge 3 - 4, from orders whose keys no round number divides."""
+    lines = [(7, 1), (7, 2), (7, 3), (13, 3), (13, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["core"] for r in run("kcore")} == {1: 2, 2: 2, 3: 2, 4: 1}
+    assert {r["id"]: r["score"] for r in run("closeness")} == {1: 0.75, 2: round(2 / 3, 9), 3: 1.0, 4: 0.0}
+    assert {r["id"]: r["score"] for r in run("betweenness")} == {1: 0.0, 2: 0.0, 3: round(2 / 3, 12), 4: 0.0}
+    assert [r["id"] for r in run("articulation_points")] == [3]
+    assert [sorted(r) for r in run("bridges")] == [[3, 4]]
+    assert {r["id"] for r in run("louvain")} == {r["id"] for r in run("label_propagation")} == {1, 2, 3, 4}

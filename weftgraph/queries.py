@@ -215,7 +215,8 @@ TRADES = "t AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, c
 
 
 def on_parts(name: str, run: Callable, sql: str | None, every: int = 100) -> None:
-    """On the graph of parts that share one of every ``every``-th order: a projection of its own, not a sample."""
+    """On the graph of parts that share an order. Queries whose SQL keeps only every ``every``-th order keep the same
+    ones, so they see a part of the graph; those without SQL run on the whole of it."""
     _add(name, lambda s, d: run(Algorithms(edges=tables.co_purchase(s, d, every))), sql and sql.replace("{CO}", CO.replace("{every}", str(every))))
 
 
@@ -225,13 +226,13 @@ on_parts("triangle_list", lambda a: a.triangles(), "WITH {CO} SELECT x.src AS a,
 on_parts("components", lambda a: a.connected_components(), "WITH RECURSIVE {CO}, e AS (SELECT src, dst FROM co UNION ALL SELECT dst, src FROM co), r AS (SELECT src AS id, src AS c FROM e UNION SELECT e.dst, r.c FROM r JOIN e ON e.src = r.id) SELECT id, min(c) AS component FROM r GROUP BY 1")
 on_parts("bfs_layers", lambda a: a.bfs(tables_start(a)), "WITH RECURSIVE {CO}, r AS (SELECT (SELECT min(src) FROM co) AS id, 0 AS depth UNION SELECT co.dst, r.depth + 1 FROM r JOIN co ON co.src = r.id WHERE r.depth < 60) SELECT id, min(depth)::BIGINT AS depth FROM r GROUP BY 1")
 on_parts("topo_layers", lambda a: iterative.topological_layers(a.nodes, a.edges)[0], "WITH RECURSIVE {CO}, n AS (SELECT src AS id FROM co UNION SELECT dst FROM co), r AS (SELECT id, 0 AS layer FROM n UNION SELECT co.dst, r.layer + 1 FROM r JOIN co ON co.src = r.id) SELECT id, max(layer)::BIGINT AS layer FROM r GROUP BY 1", 400)
-on_parts("kcore", lambda a: a.kcore(), None)
-on_parts("label_propagation", lambda a: a.label_propagation(20), None)
-on_parts("louvain", lambda a: a.louvain()[0], None)
-on_parts("closeness", lambda a: a.closeness_centrality().select("id", F.round("score", 9).alias("score")), None)
-on_parts("betweenness", lambda a: a.betweenness_centrality().select("id", F.round("score", 12).alias("score")), None)
-on_parts("articulation_points", lambda a: a.nodes.sparkSession.createDataFrame([(x,) for x in a.articulation_points()], "id bigint"), None)
-on_parts("bridges", lambda a: a.nodes.sparkSession.createDataFrame(a.bridges(), "src bigint, dst bigint"), None)
+on_parts("kcore", lambda a: a.kcore(), None, 1)
+on_parts("label_propagation", lambda a: a.label_propagation(20), None, 1)
+on_parts("louvain", lambda a: a.louvain()[0], None, 1)
+on_parts("closeness", lambda a: a.closeness_centrality().select("id", F.round("score", 9).alias("score")), None, 1)
+on_parts("betweenness", lambda a: a.betweenness_centrality().select("id", F.round("score", 12).alias("score")), None, 1)
+on_parts("articulation_points", lambda a: a.nodes.sparkSession.createDataFrame([(x,) for x in a.articulation_points()], "id bigint"), None, 1)
+on_parts("bridges", lambda a: a.nodes.sparkSession.createDataFrame(a.bridges(), "src bigint, dst bigint"), None, 1)
 
 
 def tables_start(a: Algorithms) -> int:
