@@ -222,6 +222,17 @@ def test_language_id(spark, docs, texts, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("texts", [[None, "", "123 456", " \n"], [""], ["1 2"]])
+def test_language_id_of_texts_without_letters(spark, texts):
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    bare = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    prototypes = langid.learn(spark.createDataFrame([(0, "some words", "en")], bare.schema))
+    assert langid.learn(bare) == {}
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(bare, prototypes).collect()} == {("und", 0.0)}
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert corpus_pipeline.language_id(spark, bare, "").count() == 0
+
+
 def test_bundles_are_the_bound_ngrams():
     grams, owner, place = langid.gram_places(["Ab, cab", "ab"], 3)
     seen = collections.Counter((int(o), "".join(chr(c) if c else "_" for c in grams[p])) for o, p in zip(owner, place))

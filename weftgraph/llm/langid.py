@@ -81,7 +81,7 @@ def gram_places(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray
     small, coded = _places(codes, 0x110000)
     size, m = max(2, len(small)), len(codes) - n + 1
     if m <= 0:
-        return np.zeros((0, n), np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+        return np.zeros((0, n), np.uint32), *(np.zeros(0, np.int64) for _ in range(2))
     key, ok, border = np.zeros(m, np.int64), owner[:m] == owner[n - 1 :], np.zeros(m, np.int64)
     for p in range(n):
         key = key * size + coded[p : p + m]
