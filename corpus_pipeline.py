@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    rejected = quality.apply_rules(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rejected = quality.apply_rules(docs, near_copies_once=False).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     text = F.xxhash64(F.col("text").cast("string"))
     return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__hash")), "left_anti")
 

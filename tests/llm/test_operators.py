@@ -16,6 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from weftgraph.llm import bpe, count_tree, jaccard_join, langid, lm_scoring, neighbours, packing, pieces, quality, substring_dedup, token_counts, toxicity  # noqa: E402
+from weftgraph.llm import queries as corpus  # noqa: E402
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 # columns with the names that operators give or use inside
@@ -274,6 +275,20 @@ def test_boilerplate_depletes(spark):
     assert got[100]["left_words"] == 100
 
 
+def test_lines_are_counted_over_all_different_documents(spark, tmp_path):
+    """Pages that share several lines of boilerplate, and lines drawn from a pool: each line has over 200 documents."""
+    rng = random.Random(6)
+    line = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    common, pool = [line(12) for _ in range(12)], [line(8) for _ in range(30)]
+    rows = [(i, "\n".join([*common, line(10)]), "page") for i in range(1000)]
+    rows += [(2000 + i, "\n".join(rng.sample(pool, 10)), "pool") for i in range(1000)]
+    rows += [(4000 + i, "\n".join([*common, line(10)]), "few") for i in range(200)]
+    rows += [(5000 + i, rows[0][1], "copies") for i in range(300)]  # one text
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {i: r["kept"] for i, r in by_id(corpus.op8_quality_rules(spark, str(tmp_path))).items()}
+    assert got == {i: i >= 4000 for i, _, _ in rows}
+
+
 def components(sets, percent):
     parent = {i: i for i in sets}
 

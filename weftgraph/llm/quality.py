@@ -4,9 +4,9 @@ Lines are normalised (A-Z lowered, digits to 0, white space to one space) and ha
 different documents of each line are counted; lines of more than ``max_docs`` documents are boilerplate and
 are removed; a document that keeps too little is depleted and rejected.
 
-A document is known, for that count, by the smallest hash among its *other* lines. Copies of one document,
-near ones included, then count once: they are left to the duplicate stages instead of all being thrown out
-for repeating each other.
+The registered queries count exactly: a document is known by the hash of its text, so equal texts count once.
+With ``near_copies_once`` it is known by the smallest hash among its *other* lines. Near copies of one document
+then count once, but so may different documents that have another line in common, and counts come out too low.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def line_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return narrow.mapInArrow(measure, _WIDE)
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 200, min_left: int = 25, min_share: float = 0.3) -> DataFrame:
+def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 200, min_left: int = 25, min_share: float = 0.3, near_copies_once: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept, text_hash``.
 
     ``base_failed``: under 50 words, or over half the words in repeated 3-word windows. Of the others a
@@ -112,7 +112,8 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit(""))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     line = wide.select("doc_id", "host", "th", "m1", "m2", failed.alias("base_failed"), host.alias("hk"), F.explode("lines").alias("line")).select("*", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    known_by = F.when(F.col("h") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1"))
+    other = F.when(F.col("h") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1"))
+    known_by = other if near_copies_once else F.col("th")
     frequent = line.select("hk", "h", known_by.alias("known_by")).distinct().groupBy("hk", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs).select("hk", "h")
     hits = line.where("not base_failed").join(frequent, ["hk", "h"], "left_semi").select("doc_id", "host", "th", F.lit(None).cast("struct<" + ",".join(f"{c}:bigint" for c in STATS) + ">").alias("stats"), F.col("w").cast("long").alias("removed"))
     own = wide.select("doc_id", "host", "th", F.struct(*STATS).alias("stats"), F.lit(0).cast("long").alias("removed"))

@@ -48,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(table(spark, sf_dir, "documents"))
+    return quality.apply_rules(table(spark, sf_dir, "documents"), near_copies_once=False)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
