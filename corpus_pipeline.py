@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import jaccard_join, langid, packing, quality, substring_dedup
-from weftgraph.plans.lineage import written
+from weftgraph.plans.lineage import cut, written
 
 #: The least cosine with the best language prototype; junk and unlearned scripts lie below.
 LEAST_COSINE = 0.4
@@ -33,10 +33,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
-    found = jaccard_join.join(docs, n=5, percent=80)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row: that with the smallest id.
+
+    Rows without an id come last. A row is known by id and text, so rows that only share an id, or have none, do
+    not go with each other; of rows equal in both one stays. Texts without words are in no group and all stay.
+    """
+    found = jaccard_join.join(docs, n=5, percent=80, with_keys=True).where("n_shingles > 0")
+    rows = found.groupBy("component", "tid", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tid")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
+    marked = rows.join(best, "component").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"), stays.alias("__stays"), "copies")
+    marked = cut(marked.where("not __stays or copies > 1").drop("copies"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (jaccard_join.text_id("text") == F.col("__tid"))
+    single = docs.join(marked, same, "left_anti")
+    repeated = docs.join(marked.where("__stays"), same).groupBy("__id", "__tid").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return single.unionByName(repeated.select("__row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,25 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in rows} == set(range(60)) | {200, 201}
     assert all(sum(r["length"] for r in rows if r["doc_id"] == i) == next(r["doc_tokens"] for r in rows if r["doc_id"] == i) for i in (0, 200))
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    rng = random.Random(3)
+    make = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(80))
+    a, b, c, d, e, f, g, h = (make() for _ in range(8))
+    rows = [(1, a, "x"), (None, a, "y")]  # a copy without an id
+    rows += [(None, b, "x"), (None, c, "x")]  # no ids, no copies
+    rows += [(None, d, "x"), (None, d, "y"), (None, d + " more", "z")]  # copies, none with an id
+    rows += [(2, e, "x"), (3, e, "x"), (3, f, "x")]  # two texts under one id, one a copy
+    rows += [(4, g, "x"), (4, g, "y"), (4, g, "z")]  # one id and text
+    rows += [(5, h, "x"), (6, "", "x"), (None, None, "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows)
+    no_id = [t for i, t, _ in got if i is None and t]
+    assert len(no_id) == 3 and set(no_id) - {d, d + " more"} == {b, c}
+    assert sorted((i, t) for i, t, _ in got if i is not None) == sorted([(1, a), (2, e), (3, f), (4, g), (5, h), (6, "")])
+    assert [t for i, t, _ in got if i is None].count(None) == 2
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

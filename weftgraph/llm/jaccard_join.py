@@ -19,7 +19,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..algo.components import connected_components
@@ -88,7 +88,12 @@ def _estimate(bound, a, b):
     return bound / np.maximum(1, a + b - bound)
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def text_id(text_col: str) -> Column:
+    """The text's 128-bit hash; a null text has that of the empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, with_keys: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links``.
 
     Words are cut at ASCII white space and lowered (A-Z). Two documents are linked when 100 x intersection >=
@@ -96,14 +101,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     without words, or null, has none and is linked with nothing. ``component_id`` is the smallest doc_id that
     links reach; ``n_links`` counts the verified links of a document's text to other texts that were needed
     to find it. Repeated rows give repeated rows; null ids are never a ``component_id`` unless a whole
-    component has none; an empty table gives an empty one.
+    component has none; an empty table gives an empty one. ``with_keys`` adds ``tid``, which :func:`text_id` gives
+    for the text, and ``component``, a key that all documents of a component share, with ids or without.
     """
     spark = docs.sparkSession
     if percent <= 50:
         raise ValueError("percent must be above 50")
     small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tid", F.unhex(F.md5("text")))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tid", text_id("text"))
     layout = Layout.of(docs, text_bytes(narrow))
     bits = layout.bits
     dealt = in_chunks(narrow, layout, F.col("doc_id"), F.octet_length("text"))
@@ -301,6 +307,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("n_links"))
     facts = nodes.select("tid", F.col("n").alias("n_shingles")).join(ids.select("tid", "component"), "tid").join(least, "component").join(degree, "tid", "left")
-    out = narrow.select("doc_id", "tid").join(facts.select("tid", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "tid")
+    out = narrow.select("doc_id", "tid").join(facts.select("tid", "n_shingles", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "tid")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links")
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links", *(["tid", "component"] if with_keys else []))
