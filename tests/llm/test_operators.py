@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -170,6 +171,30 @@ def test_lm_scoring(docs, texts, empty):
     assert {r["score"] for r in lm_scoring.score(docs.limit(5), F.lit(False)).collect()} == {0.0}
 
 
+def test_lm_scores_depend_on_no_size_bound(docs, texts):
+    train = F.col("doc_id") % 4 != 1
+    bounds = {k: 64 for k in inspect.signature(lm_scoring.score).parameters if k.startswith("max_")}
+    got = by_id(lm_scoring.score(docs, train, bits_per_entry=40.0, **bounds))
+    counts, tokens = collections.Counter(), lambda t: ["start", *(t or "").encode().lower().split(), "end"]
+    for i in [*range(len(texts)), 20, 20]:
+        if i % 4 != 1:
+            w = tokens(texts[i])
+            counts.update(w)
+            counts.update(zip(w, w[1:]))
+    total = got[0]["train_tokens"] + sum(isinstance(k, (bytes, str)) and k != "start" for k in counts) + 1
+
+    def count(gram):  # as the filter quantises it
+        level = 1 + math.floor(math.log(counts[gram]) / math.log(1.5) + 1e-9) if counts[gram] else 0
+        return (1.5 ** (level - 1) + 1.5**level - 1) / 2 if level else 0.0
+
+    close = 0
+    for i, t in enumerate(texts):
+        w = tokens(t)
+        want = sum(math.log10(min(1.0, (min(count((a, b)), count(a)) + 60 * (count(b) + 1) / total) / (count(a) + 60))) for a, b in zip(w, w[1:]))
+        close += abs(got[i]["score"] - want) < 1e-6
+    assert close >= 0.95 * len(texts) and {r["coverage"] for r in got.values()} == {1.0}
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 1 << 62, 20_000, dtype=np.uint64))

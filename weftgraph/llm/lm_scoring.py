@@ -3,14 +3,14 @@
 Counts of words and of word pairs are quantised to levels, ``level = 1 + floor(log_base(count))``, and each
 n-gram enters the filter once for every level up to its own. A count is read back by asking for level 1, 2,
 ... until one is missing, and stands for the middle of that level's range. The filter is cut into segments by
-hash; a reduce task fills each from exact counts over the whole corpus. Workers get it by broadcast.
+hash; a reduce task fills each from exact counts over the whole corpus and reads it back for the n-grams of
+each chunk of documents, so no worker holds the whole filter.
 
 The probability of a word after another is the pair's count, smoothed towards the word's own probability as
 if ``kappa`` more words had been drawn from it (Dirichlet smoothing); the word's own is add-one.
 
-The filter's size is bounded by ``max_filter_bytes``. Up to it the filter grows with the corpus at
-``bits_per_entry``; beyond it each segment holds its most frequent n-grams, as many as fit, and ``coverage``
-reports the share of different n-grams that the filter holds. Base scores never use the filter: they take exact counts.
+The filter grows with the corpus at ``bits_per_entry`` and holds every n-gram, so ``coverage`` is always 1; what
+grows is the number of segments, not their size. Base scores never use the filter: they take exact counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, packed_counts, summed, unpacked_counts
+from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, packed_counts, summed, unpacked_counts
 from .common import mix, small_batches, text_bytes
 from .words import hashed, parts
 
@@ -107,69 +107,44 @@ def segment(hashes: np.ndarray, counts: np.ndarray, base: float, probes: int, bi
     return np.packbits(flags, bitorder="little").tobytes(), n, len(hashes)
 
 
-def fit(docs: DataFrame, layout: Layout, *, text_col: str, base: float, probes: int, bits_per_entry: float, max_filter_bytes: int) -> tuple[LogFrequencyFilter, int, int, float]:
-    """The filter of all training texts, with their number of tokens, of different tokens, and the share of
-    different n-grams in the filter."""
+def fit(docs: DataFrame, layout: Layout, *, text_col: str) -> tuple[int, int]:
+    """How many tokens, and how many different ones, the training texts have."""
     bits = layout.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
-
-        def add(order: int, found: np.ndarray) -> None:
-            h, c = np.unique(found, return_counts=True)
-            held[order][0].append(h)
-            held[order][1].append(c.astype(np.int64))
+        held: tuple[list, list] = ([], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
-            for order, (h, c) in held.items():
-                if h:
-                    h, c = summed(h, c)
-                    for b, s in by_bucket(h, bits):
-                        rows.append((order, b, h[s].astype("<u8").tobytes(), packed_counts(c[s])))
-                held[order] = ([], [])
+            if held[0]:
+                h, c = summed(*held)
+                rows = [(0, b, h[s].astype("<u8").tobytes(), packed_counts(c[s])) for b, s in by_bucket(h, bits)]
+            held[0].clear()
+            held[1].clear()
             yield from block_rows(rows).to_batches()
 
         for batch in batches:
             texts = batch.column(0).cast(pa.large_binary()).fill_null(b"").to_pylist()
             for _, part in parts(texts):
-                tokens, ends = sequences(part)
-                add(1, np.r_[tokens, np.full(len(part), START, np.uint64)])
-                add(2, pair_hashes(before(tokens, ends), tokens))
-                if sum(map(len, held[2][0])) > FLUSH:
+                h, c = np.unique(sequences(part)[0], return_counts=True)
+                held[0].append(h)
+                held[1].append(c.astype(np.int64))
+                if sum(map(len, held[0])) > FLUSH:
                     yield from flush()
         yield from flush()
 
-    most = max_filter_bytes * 8 >> bits
-
-    def fill(table: pa.Table) -> pa.Table:
-        orders, blobs, extra = (table.column(c).to_pylist() for c in ("chunk", "a", "b"))
-        hs, cs, n_tokens, n_types = [], [], 0, 0
-        for order in (1, 2):
-            of = [k for k, o in enumerate(orders) if o == order]
-            if of:
-                h, c = summed([np.frombuffer(blobs[k], "<u8") for k in of], [unpacked_counts(extra[k], len(blobs[k]) // 8) for k in of])
-                hs.append(h)
-                cs.append(c)
-                if order == 1:
-                    own = h != START
-                    n_tokens, n_types = int(c[own].sum()), int(own.sum())
-        found, n, kept = segment(np.concatenate(hs), np.concatenate(cs), base, probes, bits_per_entry, max(64, most))
-        return pa.table([[table.column("bucket")[0].as_py()], [found], [n], [kept], [sum(map(len, hs))], [n_tokens], [n_types]], pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("kept", pa.int64()), ("grams", pa.int64()), ("n_tokens", pa.int64()), ("n_types", pa.int64())]))
+    def add(table: pa.Table) -> pa.Table:
+        blobs, extra = (table.column(c).to_pylist() for c in ("a", "b"))
+        h, c = summed([np.frombuffer(x, "<u8") for x in blobs], [unpacked_counts(e, len(x) // 8) for e, x in zip(extra, blobs)])
+        return pa.table([[int(c.sum())], [len(h)]], ["n_tokens", "n_types"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(count, ROWS).groupBy("bucket").applyInArrow(fill, "bucket int, bits binary, n long, kept long, grams long, n_tokens long, n_types long").collect()
-    size, begin, packed = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), []
-    at = 0
-    for row in sorted(rows, key=lambda r: r["bucket"]):
-        size[row["bucket"]], begin[row["bucket"]] = row["n"], at
-        packed.append(bytes(row["bits"]))
-        at += row["n"]
-    whole = np.frombuffer(b"".join(packed), np.uint8) if packed else np.zeros(1, np.uint8)
-    return LogFrequencyFilter(whole, begin, size, bits, base, probes), sum(r["n_tokens"] for r in rows), sum(r["n_types"] for r in rows), sum(r["kept"] for r in rows) / max(1, sum(r["grams"] for r in rows))
-
-
-def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, probes: int = 4, bits_per_entry: float = 6.0, max_filter_bytes: int = 1 << 27, kappa: float = 60.0) -> DataFrame:
+    found = texts.mapInArrow(count, ROWS).groupBy("bucket").applyInArrow(add, "n_tokens long, n_types long")
+    row = found.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_types").alias("n_types")).first()
+    return row["n_tokens"] or 0, row["n_types"] or 0
+
+
+def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, probes: int = 4, bits_per_entry: float = 6.0, kappa: float = 60.0) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, coverage``.
 
     ``training`` is a boolean column: which documents the model learns from; the others are ``held_out``.
@@ -182,8 +157,7 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     layout = Layout.of(docs, text_bytes(narrow))
-    filter_, n_train, n_types, coverage = fit(narrow.where("train"), layout, text_col="text", base=base, probes=probes, bits_per_entry=bits_per_entry, max_filter_bytes=max_filter_bytes)
-    sent = spark.sparkContext.broadcast(filter_)
+    n_train, n_types = fit(narrow.where("train"), layout, text_col="text")
     dealt = in_chunks(narrow, layout, F.col("doc_id"), F.octet_length("text"))
     bits, total = layout.bits, float(n_train + n_types + 1)
 
@@ -191,47 +165,80 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
         return table.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
 
     def ask(table: pa.Table) -> pa.Table:
-        """The chunk's different tokens, and how often its training texts have each."""
+        """The chunk's different tokens (the start mark too) and pairs, and how often its training texts have each."""
         texts, train = read(table), table.column("train").to_numpy()
-        held, learnt = [], []
+        held: tuple[tuple[list, list], ...] = (([], []), ([], []))
+
+        def add(order: int, found: np.ndarray, learnt: np.ndarray) -> None:
+            h, where = np.unique(found, return_inverse=True)
+            held[order][0].append(h)
+            held[order][1].append(np.bincount(where, learnt, minlength=len(h)).astype(np.int64))
+
         for low, part in parts(texts):
             tokens, ends = sequences(part)
-            h, where = np.unique(tokens, return_inverse=True)
-            weight = np.repeat(train[low : low + len(part)], np.diff(ends)).astype(np.float64)
-            held.append(h)
-            learnt.append(np.bincount(where, weight, minlength=len(h)).astype(np.int64))
-        h, c = summed(held, learnt)
+            own = train[low : low + len(part)].astype(np.float64)
+            weight = np.repeat(own, np.diff(ends))
+            add(0, np.r_[tokens, np.full(len(part), START, np.uint64)], np.r_[weight, own])
+            add(1, pair_hashes(before(tokens, ends), tokens), weight)
         chunk = table.column("chunk")[0].as_py()
-        return block_rows([(chunk, b, h[s].astype("<u8").tobytes(), packed_counts(c[s])) for b, s in by_bucket(h, bits)])
+        (words, n_words), (pairs, n_pairs) = (summed(h, c) for h, c in held)
+        own, rows = dict(by_bucket(words, bits)), []
+        others = dict(by_bucket(pairs, bits))
+        for b in sorted(own.keys() | others.keys()):
+            s, t = own.get(b, slice(0, 0)), others.get(b, slice(0, 0))
+            counts = np.r_[n_words[s], n_pairs[t]]
+            size = (s.stop - s.start).to_bytes(8, "little")
+            rows.append((chunk, b, size + np.r_[words[s], pairs[t]].astype("<u8").tobytes(), packed_counts(counts)))
+        return block_rows(rows)
 
     def answer(table: pa.Table) -> pa.Table:
+        """The bucket's segment of the filter is filled, then asked for each chunk's words and pairs. Words get exact counts, too."""
         chunks, blobs, extra = (table.column(c).to_pylist() for c in ("chunk", "a", "b"))
-        h, came = joined(blobs, "<u8")
-        c = np.concatenate([unpacked_counts(e, len(x) // 8) for e, x in zip(extra, blobs)])
-        _, where = np.unique(h, return_inverse=True)
-        sums = np.bincount(where, c.astype(np.float64)).astype(np.int64)[where]
-        bounds = np.searchsorted(came, np.arange(len(chunks) + 1))
         bucket = table.column("bucket")[0].as_py()
-        return block_rows([(k, bucket, packed_counts(sums[bounds[i] : bounds[i + 1]]), (int(bounds[i + 1] - bounds[i])).to_bytes(8, "little")) for i, k in enumerate(chunks)])
+        n_words = [int.from_bytes(x[:8], "little") for x in blobs]
+        lists = [np.frombuffer(x, "<u8", offset=8) for x in blobs]
+        counts = [unpacked_counts(e, len(h)) for e, h in zip(extra, lists)]
+        words, c_words = summed([h[:n] for h, n in zip(lists, n_words)], [c[:n] for c, n in zip(counts, n_words)])
+        pairs, c_pairs = summed([h[n:] for h, n in zip(lists, n_words)], [c[n:] for c, n in zip(counts, n_words)])
+        all_h, all_c = np.r_[words, pairs], np.r_[c_words, c_pairs]
+        there = all_c > 0
+        flags, n, _ = segment(all_h[there], all_c[there], base, probes, bits_per_entry, 1 << 62)
+        begin, size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        size[bucket] = n if there.any() else 0
+        levels = LogFrequencyFilter(np.frombuffer(flags, np.uint8), begin, size, bits, base, probes).levels(all_h).astype(np.uint8)
+        rows = []
+        for k, h, m in zip(chunks, lists, n_words):
+            at, of = np.searchsorted(words, h[:m]), np.searchsorted(pairs, h[m:])
+            exact = packed_counts(c_words[at])
+            rows.append((k, bucket, m.to_bytes(8, "little") + levels[at].tobytes() + exact, levels[len(words) + of].tobytes()))
+        return block_rows(rows)
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = read(table)
         order = np.argsort(answers.column("bucket").to_numpy())
         a, b = answers.column("a").to_pylist(), answers.column("b").to_pylist()
-        known = np.concatenate([unpacked_counts(a[k], int.from_bytes(b[k], "little")) for k in order])
-        words = np.unique(np.concatenate([np.unique(sequences(part)[0]) for _, part in parts(texts)]))
-        model = sent.value
-        own = model.counts(words)
+        n_words = [int.from_bytes(x[:8], "little") for x in a]
+        known = np.concatenate([unpacked_counts(a[k][8 + n_words[k] :], n_words[k]) for k in order])
+        # the middle of a level's range, 0 for none
+        level = np.arange(256.0)
+        middle = np.where(level == 0, 0.0, (base ** (level - 1) + base**level - 1) / 2)
+        own = middle[np.concatenate([np.frombuffer(a[k], np.uint8, n_words[k], 8) for k in order])]
+        of_pair = np.frombuffer(b"".join([b[k] for k in order]), np.uint8)
+        # answers are in the order of the hashes, as buckets are their top bits
+        seen_words, seen_pairs = [np.array([START], np.uint64)], []
+        for _, part in parts(texts):
+            tokens, ends = sequences(part)
+            seen_words.append(np.unique(tokens))
+            seen_pairs.append(np.unique(pair_hashes(before(tokens, ends), tokens)))
+        words, pairs = np.unique(np.concatenate(seen_words)), np.unique(np.concatenate(seen_pairs))
         n_tokens, n_known, base_score, scores = [], [], [], []
         for _, part in parts(texts):
             tokens, ends = sequences(part)
             at = np.searchsorted(words, tokens)
             left = before(tokens, ends)
-            begins = left == START
-            c_left = own[np.where(begins, 0, np.searchsorted(words, left) % max(1, len(words)))]
-            c_left[begins] = model.counts(np.array([START], np.uint64))[0]
-            pairs, where = np.unique(pair_hashes(left, tokens), return_inverse=True)
-            c_pair = np.minimum(model.counts(pairs)[where], c_left)
+            c_left = own[np.searchsorted(words, left)]
+            found, where = np.unique(pair_hashes(left, tokens), return_inverse=True)
+            c_pair = np.minimum(middle[of_pair[np.searchsorted(pairs, found)]][where], c_left)
             p = (c_pair + kappa * (own[at] + 1) / total) / (c_left + kappa)
             starts = ends[:-1]
             n_tokens.append(np.diff(ends))
@@ -240,7 +247,7 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
             scores.append(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts))
         n = len(texts)
         train = table.column("train").to_numpy()
-        columns = [table.column("doc_id").combine_chunks(), pa.array(~train), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (n_tokens, n_known)), pa.array(np.full(n, n_train, np.int64)), *(pa.array(np.concatenate(c)) for c in (base_score, scores)), pa.array(np.full(n, coverage))]
+        columns = [table.column("doc_id").combine_chunks(), pa.array(~train), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (n_tokens, n_known)), pa.array(np.full(n, n_train, np.int64)), *(pa.array(np.concatenate(c)) for c in (base_score, scores)), pa.array(np.ones(n))]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "coverage"])
 
     chunked = dealt.groupBy("chunk")
