@@ -11,19 +11,34 @@ from ..plans.lineage import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(id, component)`` for every node that an edge touches; direction is ignored.
 
-    ``component`` is the smallest id that can be reached. A round takes the least label among a node's
-    neighbours, then the label of that label, so labels travel twice as far with each round. Labels are
-    checkpointed every round. Ids may be of any type with an order.
+    ``component`` is the smallest id that can be reached. Each round contracts the graph: a node joins the neighbour
+    (or itself) that comes first in an order drawn for the round, then that one's choice, and edges inside a joined
+    group go. The order is by hash, so groups stay shallow and the graph shrinks by a constant factor however ids are
+    laid out; what is settled is never read again. At the end the choices are followed back from the last round to
+    the first. Ids may be of any type with an order.
     """
     one = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["id"] == near["u"]).select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        found = cut(lower.join(jump, "component").select("id", F.col("jump").alias("component"), (F.col("jump") != F.col("before")).alias("moved")))
-        labels = found.select("id", "component")
-        if found.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    rest = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    chosen: list[DataFrame] = []
+    for k in range(max_rounds):
+        if rest.isEmpty():
+            break
+        order = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("id"))
+        first = rest.groupBy("u").agg(F.min(order("v")).alias("near")).select(F.col("u").alias("id"), F.least(order("u"), "near")["id"].alias("to"))
+        first = cut(first)
+        jump = first.join(first.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+        joined = cut(jump)
+        chosen.append(joined)
+        a, b = joined.select(F.col("id").alias("u"), F.col("to").alias("a")), joined.select(F.col("id").alias("v"), F.col("to").alias("b"))
+        rest = cut(rest.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if not chosen:
+        return rest.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    place = chosen[-1]
+    for step in reversed(chosen[:-1]):
+        later = place.select(F.col("id").alias("to"), F.col("to").alias("end"))
+        place = step.join(later, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+    place = cut(place)
+    least = place.groupBy("to").agg(F.min("id").alias("component"))
+    return place.join(least, "to").select("id", "component")

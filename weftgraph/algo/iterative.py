@@ -8,10 +8,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from . import local
+
+#: Rounds whose results are kept apart before they are folded into one table.
+FOLD = 8
+
+
+def by_source(edges: DataFrame, *columns: str) -> DataFrame:
+    """Edges kept by hash of their source and sorted by it, so that the join of every round finds them in place."""
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(edges.select("src", "dst", *columns).repartition(tasks, "src").sortWithinPartitions("src"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -25,35 +37,44 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, start: int, most: int = 1 << 30) -> DataFrame:
-    """``id, depth`` along outgoing edges; nothing if the start is no node."""
-    hop = edges.select("src", "dst").distinct()
+    """``id, depth`` along outgoing edges; nothing if the start is no node. A round writes its own front alone."""
+    hop = by_source(edges.select("src", "dst").distinct())
     front = cut(nodes_of(edges).where(F.col("id") == start).withColumn("depth", F.lit(0).cast("bigint")))
-    seen, n = front, 0
+    seen, n = [front], 0
     while not front.isEmpty() and n < most:
         n += 1
-        near = front.join(hop, front["id"] == hop["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        if len(seen) > FOLD:
+            seen = [cut(reduce(DataFrame.unionAll, seen))]
+        known = reduce(DataFrame.unionAll, seen).select("id")
+        near = hop.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
         front = cut(near.withColumn("depth", F.lit(n).cast("bigint")))
-        seen = cut(seen.unionAll(front))
-    return seen
+        seen.append(front)
+    return reduce(DataFrame.unionAll, seen)
 
 
 def sssp(edges: DataFrame, source: int, rounds: int = 1 << 30) -> DataFrame:
     """``id, distance, predecessor``: relaxation of the edges out of nodes that changed, to the fixpoint.
 
-    Negative weights are allowed; ``rounds`` bounds the search where a negative cycle may be reachable.
+    Negative weights are allowed; ``rounds`` bounds the search where a negative cycle may be reachable. A round
+    writes only what it improved; these parts are folded into one now and then.
     """
-    hop = edges.select("src", "dst", "weight")
-    best = cut(nodes_of(edges).where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("bigint").alias("predecessor")))
-    front, n = best, 0
+    hop = by_source(edges.select("src", "dst", "weight"), "weight")
+    front = cut(nodes_of(edges).where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("bigint").alias("predecessor")))
+    parts, n = [front], 0
+
+    def best() -> DataFrame:
+        least = reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.min(F.struct("distance", "predecessor")).alias("o"))
+        return least.select("id", "o.distance", "o.predecessor")
+
     while n < rounds and not front.isEmpty():
         n += 1
-        offers = front.join(hop, front["id"] == hop["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("d"), F.col("src").alias("p"))
-        least = offers.groupBy("id").agg(F.min(F.struct("d", "p")).alias("o"))
-        both = cut(best.join(least, "id", "full").select("id", "distance", "predecessor", "o.d", "o.p", (F.col("distance").isNull() | (F.col("o.d") < F.col("distance"))).alias("better")))
-        better = F.coalesce("better", F.lit(False))
-        best = both.select("id", F.when(better, F.col("d")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("p")).otherwise(F.col("predecessor")).alias("predecessor"))
-        front = both.where(better).select("id", F.col("d").alias("distance"))
-    return best
+        if len(parts) > FOLD:
+            parts = [cut(best())]
+        offers = hop.join(front.select(F.col("id").alias("src"), "distance"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("predecessor"))).alias("o"))
+        known = best().select("id", F.col("distance").alias("old"))
+        front = cut(offers.join(known, "id", "left").where("old is null or o.distance < old").select("id", "o.distance", "o.predecessor"))
+        parts.append(front)
+    return best()
 
 
 def bellman_ford(edges: DataFrame, source: int) -> tuple[DataFrame, bool]:
@@ -98,25 +119,37 @@ def degrees(nodes: DataFrame, edges: DataFrame, normalized: bool = False) -> Dat
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """``id, score``. The mass of nodes without out-edges is spread evenly; parallel edges weigh.
 
-    The edge table is reduced once to ``src, dst, share`` and checkpointed; a round is one join, one sum and the
-    dangling mass, which is one number. Stops when no score moves by ``tolerance``.
+    The edge table is reduced once to ``src, dst, share``, with a share of 0 from each node to itself so that every
+    node gets a sum, and kept partitioned and sorted by source. A round is then one join without a shuffle of edges
+    and one sum; one job gives its ranks, the largest move and the dangling mass. Ranks are held in memory and
+    written every ``FOLD`` rounds, so a lost executor costs that many. Stops when no score moves by ``tolerance``.
     """
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("score"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    shares = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("n")).alias("share")))
-    ranks = cut(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("flows")), "id", "left").select("id", F.coalesce("flows", F.lit(False)).alias("flows"), F.lit(1.0 / n).alias("score")))
-    for _ in range(max_iterations):
-        lost = ranks.where("not flows").agg(F.sum("score")).first()[0] or 0.0
+    shares = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("n")).alias("share"))
+    arcs = by_source(shares.unionAll(nodes.select("id", "id", F.lit(0.0))), "share").persist()
+    flows = out.select(F.col("src").alias("id"), F.lit(True).alias("flows"))
+    ranks = cut(nodes.select("id").join(flows, "id", "left").select("id", F.coalesce("flows", F.lit(False)).alias("flows"), F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("old")))
+    lost, held = (ranks.where("not flows").count() / n), []
+    for k in range(1, max_iterations + 1):
         base = (1.0 - damping) / n + damping * lost / n
-        got = ranks.join(shares, ranks["id"] == shares["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        new = cut(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "flows", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old")))
-        moved = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
-        ranks = new.select("id", "flows", "score")
-        if moved < tolerance:
+        got = arcs.join(ranks.select(F.col("id").alias("src"), "score", "flows"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"), F.max(F.when(F.col("src") == F.col("dst"), F.struct("flows", "score"))).alias("own"))
+        new = got.select("id", F.col("own.flows").alias("flows"), (F.lit(base) + F.lit(damping) * F.col("got")).alias("score"), F.col("own.score").alias("old"))
+        new = cut(new) if k % FOLD == 0 else new.persist()
+        facts = new.agg(F.max(F.abs(F.col("score") - F.col("old"))).alias("moved"), F.sum(F.when(~F.col("flows"), F.col("score")).otherwise(0.0)).alias("lost")).first()
+        ranks, lost = new, facts["lost"]
+        held.append(new)
+        if facts["moved"] < tolerance:
             break
-    return ranks.select("id", "score")
+        for old in held[:-1] if k % FOLD == 0 else []:
+            old.unpersist()
+        held = held[-1:] if k % FOLD == 0 else held
+    result = cut(ranks.select("id", "score"))
+    for df in (arcs, *held):
+        df.unpersist()
+    return result
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -161,35 +194,52 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
 
 
 def topological_layers(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
-    """``id, layer`` by peeling nodes without in-edges, and whether all nodes could be peeled (no cycle)."""
-    rest, arcs, done, n = cut(nodes.select("id")), cut(edges.select("src", "dst").distinct()), [], 0
+    """``id, layer`` by peeling nodes without in-edges, and whether all nodes could be peeled (no cycle).
+
+    A node goes when as many of its in-edges have been met as it has. A round reads the edges out of the last layer
+    and writes that layer and what it met; these parts are folded into one now and then.
+    """
+    arcs = by_source(edges.select("src", "dst").distinct())
+    waits = cut(arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("waits")))
+    front = cut(nodes.select("id").join(waits, "id", "left_anti").withColumn("layer", F.lit(0).cast("bigint")))
+    done, met, n, total, layer = [front], [], front.count(), 0, 0
     while True:
-        free = cut(rest.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if free.isEmpty():
+        total += n
+        found = cut(arcs.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("met")))
+        met.append(found)
+        if len(met) > FOLD:
+            met = [cut(reduce(DataFrame.unionAll, met).groupBy("id").agg(F.sum("met").alias("met")))]
+            done = [cut(reduce(DataFrame.unionAll, done))]
+        sums = reduce(DataFrame.unionAll, met).join(found.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
+        layer += 1
+        front = cut(sums.join(waits, "id").where("met = waits").select("id", F.lit(layer).cast("bigint").alias("layer")))
+        n = front.count()
+        if n == 0:
             break
-        done.append(free.withColumn("layer", F.lit(n).cast("bigint")))
-        rest = cut(rest.join(free, "id", "left_anti"))
-        arcs = cut(arcs.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        n += 1
-    layers = reduce(DataFrame.unionAll, done) if done else nodes.select("id", F.lit(0).cast("bigint").alias("layer")).limit(0)
-    return layers, rest.isEmpty()
+        done.append(front)
+    return reduce(DataFrame.unionAll, done), total == nodes.count()
 
 
 def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, core``: the largest k for which the node lies in a subgraph of degree k or more."""
-    both = cut(undirected(edges))
-    rest, done, k = cut(nodes.select("id")), [], 0
-    while not rest.isEmpty():
-        while True:
-            degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-            low = cut(rest.join(degree, "id", "left").where(F.coalesce("d", F.lit(0)) <= k).select("id"))
-            if low.isEmpty():
-                break
-            done.append(low.withColumn("core", F.lit(k).cast("bigint")))
-            rest = cut(rest.join(low, "id", "left_anti"))
-            both = cut(both.join(low.select(F.col("id").alias("src")), "src", "left_anti").join(low.select(F.col("id").alias("dst")), "dst", "left_anti"))
-        k += 1
-    return reduce(DataFrame.unionAll, done) if done else nodes.select("id", F.lit(0).cast("bigint").alias("core"))
+    """``id, core``: the largest k for which the node lies in a subgraph of degree k or more.
+
+    Every node starts at its degree and takes, round after round, the largest h for which h of its neighbours are
+    at h or more; this comes down to the core number for all k at once. Neighbours are counted by value first, a
+    value above the node's own counts as the node's own, so a hub is a running count over few rows, not a list.
+    """
+    both = by_source(undirected(edges))
+    value = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("h"))
+    value = cut(value)
+    down = Window.partitionBy("dst").orderBy(F.col("v").desc())
+    while True:
+        sent = both.join(value.select(F.col("id").alias("src"), "h"), "src").join(value.select(F.col("id").alias("dst"), F.col("h").alias("own")), "dst")
+        counts = sent.groupBy("dst", "own", F.least("h", "own").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        upto = counts.select("dst", "own", F.least("v", F.sum("n").over(down)).alias("at"))
+        new = cut(upto.groupBy(F.col("dst").alias("id"), "own").agg(F.max("at").alias("h")))
+        value = new.select("id", "h")
+        if new.where("h <> own").isEmpty():
+            break
+    return nodes.select("id").join(value, "id", "left").select("id", F.coalesce("h", F.lit(0)).cast("bigint").alias("core"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -246,86 +296,62 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_iterations: int =
     return labels
 
 
-def all_sources(edges: DataFrame, nodes: DataFrame, work, schema: str) -> DataFrame:
-    """Run ``work(adjacency, sources)`` over blocks of source nodes, the adjacency broadcast.
+#: What one worker may hold of a broadcast graph: 16 bytes for each edge.
+BROADCAST_BYTES = 320_000_000
 
-    For measures that need one search from every node. The adjacency must fit a worker, which is checked.
-    """
-    import pandas as pd
 
-    spark, size = edges.sparkSession, edges.count()
-    if size > 20_000_000:
-        raise ValueError("the graph is too large to be broadcast")
-    adjacency: dict[int, list[int]] = {}
-    for a, b in edges.select("src", "dst").toLocalIterator():
-        adjacency.setdefault(a, []).append(b)
-    sent = spark.sparkContext.broadcast(adjacency)
+def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:
+    """``id, score`` by Brandes' accumulation over all sources, along outgoing edges, unweighted. Normalised by
+    2 / ((n-1)(n-2)); 0 for two nodes or fewer.
+
+    Sources are dealt to tasks, each of which holds the edges as two arrays; their size is checked first.
+    """
+    spark = edges.sparkSession
+    if edges.count() * 16 > BROADCAST_BYTES:
+        raise ValueError(f"the graph has more than {BROADCAST_BYTES // 16} edges, which every worker would have to hold")
+    found = edges.select("src", "dst").toArrow()
+    src, dst = (found.column(c).to_numpy() for c in ("src", "dst"))
+    ids = np.unique(np.r_[src, dst])
+    sent = spark.sparkContext.broadcast((ids, np.searchsorted(ids, src), np.searchsorted(ids, dst)))
+    n = nodes.count()
 
     def run(batches):
-        for batch in batches:
-            yield pd.DataFrame(work(sent.value, batch["id"].tolist()), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return nodes.select("id").repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
+        ids, a, b = sent.value
+        pairs = np.unique(a * len(ids) + b, return_counts=True)
+        own = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.column(0)) for x in batches)])
+        score = local.dependencies(a, b, len(ids), own) if len(pairs[0]) else np.zeros(len(ids))
+        hit = np.flatnonzero(score)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(score[hit])], ["id", "score"])
+
+    tasks = max(1, min(len(ids), spark.sparkContext.defaultParallelism * 2))
+    parts = spark.range(0, len(ids), 1, tasks).mapInArrow(run, "id long, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    factor = (2.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) if normalized else 1.0
+    return nodes.select("id").join(parts, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * factor).alias("score"))
 
 
 def closeness(nodes: DataFrame, edges: DataFrame, wf_improved: bool = False) -> DataFrame:
     """``id, score``: reached nodes over summed distance, along outgoing edges; ``wf_improved`` weighs by the
-    share of nodes that are reached."""
-    n = nodes.count()
-
-    def work(adjacency, sources):
-        out = []
-        for s in sources:
-            depth, front, d, total = {s}, [s], 0, 0
-            while front:
-                d += 1
-                nxt = []
-                for v in front:
-                    for w in adjacency.get(v, ()):
-                        if w not in depth:
-                            depth.add(w)
-                            nxt.append(w)
-                total += d * len(nxt)
-                front = nxt
-            reached = len(depth) - 1
-            score = reached / total if total else 0.0
-            out.append((s, score * reached / (n - 1) if wf_improved and n > 1 else score))
-        return out
-
-    return all_sources(edges, nodes, work, "id long, score double")
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """``id, score`` by Brandes' accumulation over all sources, along outgoing edges, unweighted. Normalised by
-    2 / ((n-1)(n-2)); 0 for two nodes or fewer."""
+    share of nodes that are reached. One breadth-first search from all nodes: the frontier has a row for each
+    source and node, so its size is the number of pairs that reach each other."""
     n = nodes.count()
-
-    def work(adjacency, sources):
-        score: dict[int, float] = {}
-        for s in sources:
-            order, before, paths, depth = [], {s: []}, {s: 1}, {s: 0}
-            queue = [s]
-            for v in queue:
-                order.append(v)
-                for w in adjacency.get(v, ()):
-                    if w not in depth:
-                        depth[w] = depth[v] + 1
-                        paths[w], before[w] = 0, []
-                        queue.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    share[v] += paths[v] / paths[w] * (1 + share[w])
-                if w != s:
-                    score[w] = score.get(w, 0.0) + share[w]
-        return list(score.items())
-
-    parts = all_sources(edges, nodes, work, "id long, score double").groupBy("id").agg(F.sum("score").alias("score"))
-    factor = (2.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) if normalized else 1.0
-    return nodes.select("id").join(parts, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * factor).alias("score"))
+    hop = by_source(edges.select("src", "dst").where("src <> dst").distinct())
+    front = cut(nodes.select(F.col("id").alias("source"), F.col("id").alias("at")))
+    seen, sums, depth = [front], [], 0
+    while True:
+        depth += 1
+        if len(seen) > FOLD:
+            seen = [cut(reduce(DataFrame.unionAll, seen))]
+        near = hop.join(front.withColumnRenamed("at", "src"), "src").select("source", F.col("dst").alias("at")).distinct()
+        front = cut(near.join(reduce(DataFrame.unionAll, seen), ["source", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen.append(front)
+        sums.append(front.groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * depth).alias("d")))
+    if not sums:
+        return nodes.select("id", F.lit(0.0).alias("score"))
+    total = reduce(DataFrame.unionAll, sums).groupBy(F.col("source").alias("id")).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    score = F.col("n") / F.col("d") * (F.col("n") / (n - 1) if wf_improved and n > 1 else F.lit(1.0))
+    return nodes.select("id").join(total, "id", "left").select("id", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import PropertyGraph
-from . import iterative, sequential
+from ..plans.lineage import cut
+from . import iterative, local, sequential
 from .components import connected_components
 
-#: Edges that may be brought to one process for an algorithm that is sequential.
+#: Edges and nodes that one process may hold: the driver for an algorithm that is sequential by nature, a task for
+#: one that has distributed rounds too and takes those above this bound. About 100 bytes each at the peak.
 LOCAL_EDGES = 5_000_000
 
 _REGISTRY: dict[str, Callable] = {}
@@ -28,7 +31,28 @@ class Algorithms:
     def __init__(self, graph: PropertyGraph | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None):
         self.graph = graph
         self.edges = edges if edges is not None else graph.scan_edges()
-        self.nodes = nodes.select("id").distinct() if nodes is not None else graph.scan_nodes().select("id") if graph is not None else iterative.nodes_of(self.edges)
+        self._listed = nodes.select("id").distinct() if nodes is not None else graph.scan_nodes().select("id") if graph is not None else None
+        self._arcs: DataFrame | None = None
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._listed if self._listed is not None else iterative.nodes_of(self.arcs)
+
+    @property
+    def arcs(self) -> DataFrame:
+        """``src, dst`` of all edges, worked out once however many rounds read them."""
+        if self._arcs is None:
+            self._arcs = cut(self.edges.select("src", "dst"))
+        return self._arcs
+
+    @cached_property
+    def small(self) -> bool:
+        """Whether one task may hold the graph."""
+        n = self.arcs.count()
+        return n <= LOCAL_EDGES and (self._listed is None or n + self._listed.count() <= LOCAL_EDGES)
+
+    def in_one_task(self, work: Callable, schema: str) -> DataFrame:
+        return local.in_one_task(self.arcs, self._listed, work, schema)
 
     def weighted(self, weight: str | None, name: str = "weight", default: float = 1.0) -> DataFrame:
         value = F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(default)) if weight and weight in self.edges.columns else F.lit(default)
@@ -50,7 +74,9 @@ class Algorithms:
 
     # traversal
     def bfs(self, start: int) -> DataFrame:
-        return iterative.bfs(self.edges, start)
+        if self.small:
+            return self.in_one_task(lambda *g: local.bfs(*g, start), "id long, depth long")
+        return iterative.bfs(self.arcs, start)
 
     def bfs_layers(self, start: int) -> DataFrame:
         return self.bfs(start).groupBy("depth").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -61,9 +87,17 @@ class Algorithms:
     def dfs_all(self) -> list[int]:
         return sequential.dfs_all(self.local_nodes(), self.local(self.edges.select("src", "dst")))
 
+    def visit(self, start: int, visitor: Callable, depth_first: bool = False):
+        """Tell ``visitor`` every event of a breadth-first or depth-first walk; see :func:`.sequential.visit`."""
+        if self.nodes.where(F.col("id") == start).isEmpty():
+            return None
+        return sequential.visit(self.local(self.edges.select("src", "dst")), start, visitor, depth_first)
+
     # components
     def connected_components(self) -> DataFrame:
-        found = connected_components(self.edges)
+        if self.small:
+            return self.in_one_task(local.components, "id long, component long")
+        found = connected_components(self.arcs)
         return self.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
     def connected_component_count(self) -> int:
@@ -72,12 +106,19 @@ class Algorithms:
     def strongly_connected_components(self) -> DataFrame:
         return iterative.strong_components(self.nodes, self.edges)
 
+    def topological_layers(self) -> tuple[DataFrame, bool]:
+        """``id, layer`` of the nodes that no cycle holds back, and whether these are all."""
+        if self.small:
+            found = cut(self.in_one_task(local.layers, "id long, layer long"))
+            return found.where("layer >= 0"), found.where("layer < 0").isEmpty()
+        return iterative.topological_layers(self.nodes, self.arcs)
+
     def topological_sort(self) -> DataFrame | None:
-        layers, acyclic = iterative.topological_layers(self.nodes, self.edges)
+        layers, acyclic = self.topological_layers()
         return layers.orderBy("layer", "id") if acyclic else None
 
     def is_dag(self) -> bool:
-        return iterative.topological_layers(self.nodes, self.edges)[1]
+        return self.topological_layers()[1]
 
     # shortest paths
     def dijkstra(self, source: int, target: int | None = None, weight: str | None = None) -> DataFrame:
@@ -89,7 +130,16 @@ class Algorithms:
         return out if target is None else out.where(F.col("id") == target)
 
     def dijkstra_path(self, source: int, target: int, weight: str | None = None) -> tuple[float, list[int]] | None:
-        return self.astar(source, target, None, weight)
+        """Distance and path: the predecessors that the distributed search leaves are walked back."""
+        found = cut(self.dijkstra(source, None, weight))
+        path, at = [], found.where(F.col("id") == target).first()
+        if at is None:
+            return None
+        distance = at["distance"]
+        while at is not None:
+            path.append(at["id"])
+            at = None if at["id"] == source else found.where(F.col("id") == at["predecessor"]).first()
+        return distance, path[::-1]
 
     def astar(self, source: int, target: int, heuristic=None, weight: str | None = None) -> tuple[float, list[int]] | None:
         guess = heuristic if callable(heuristic) else (lambda v: (heuristic or {}).get(v, 0.0))
@@ -106,17 +156,23 @@ class Algorithms:
         return iterative.degrees(self.nodes, self.edges, normalized)
 
     def pagerank(self, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
-        return iterative.pagerank(self.nodes, self.edges, damping, max_iterations, tolerance)
+        if self.small:
+            return self.in_one_task(lambda *g: local.pagerank(*g, damping, max_iterations, tolerance), "id long, score double")
+        return iterative.pagerank(self.nodes, self.arcs, damping, max_iterations, tolerance)
 
     def betweenness_centrality(self, normalized: bool = True) -> DataFrame:
-        return iterative.betweenness(self.nodes, self.edges, normalized)
+        return iterative.betweenness(self.nodes, self.arcs, normalized)
 
     def closeness_centrality(self, wf_improved: bool = False) -> DataFrame:
-        return iterative.closeness(self.nodes, self.edges, wf_improved)
+        if self.small:
+            return self.in_one_task(lambda *g: local.closeness(*g, wf_improved), "id long, score double")
+        return iterative.closeness(self.nodes, self.arcs, wf_improved)
 
     # communities
     def label_propagation(self, max_iterations: int = 100) -> DataFrame:
-        return iterative.label_propagation(self.nodes, self.edges, max_iterations or 100)
+        if self.small:
+            return self.in_one_task(lambda *g: local.labels(*g, max_iterations or 100), "id long, label long")
+        return iterative.label_propagation(self.nodes, self.arcs, max_iterations or 100)
 
     def louvain(self, resolution: float = 1.0) -> tuple[DataFrame, float]:
         found = sequential.louvain(self.local_nodes(), self.local(self.edges.select("src", "dst")), resolution)
@@ -151,11 +207,11 @@ class Algorithms:
 
     def kcore(self, k: int | None = None) -> DataFrame:
         """``id, core``; with ``k`` only nodes of the k-core."""
-        out = iterative.core_numbers(self.nodes, self.edges)
+        out = self.in_one_task(local.cores, "id long, core long") if self.small else iterative.core_numbers(self.nodes, self.arcs)
         return out if k is None else out.where(F.col("core") >= k)
 
     def k_shell(self, k: int) -> DataFrame:
-        return iterative.core_numbers(self.nodes, self.edges).where(F.col("core") == k)
+        return self.kcore().where(F.col("core") == k)
 
     def triangles(self) -> DataFrame:
         return iterative.triangles(self.edges)
@@ -173,7 +229,8 @@ class Algorithms:
 
         g = (nx.MultiDiGraph if directed else nx.MultiGraph)()
         g.add_nodes_from(self.local_nodes())
-        names = [c for c in self.edges.columns if c not in ("src", "dst")]
-        for r in self.edges.collect():
-            g.add_edge(r["src"], r["dst"], **{c: r[c] for c in names if r[c] is not None})
+        columns = self.edges.columns
+        for row in self.local(self.edges):
+            r = dict(zip(columns, row))
+            g.add_edge(r.pop("src"), r.pop("dst"), **{c: v for c, v in r.items() if v is not None})
         return g

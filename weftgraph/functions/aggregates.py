@@ -1,18 +1,28 @@
-"""Aggregate functions. All but ``count(*)`` skip nulls; an empty sum is 0."""
+"""Aggregate functions. All but ``count(*)`` skip nulls; an empty sum is 0. ``sample`` is the smallest value;
+``first`` and ``last`` follow the order of rows, which only a sort just before fixes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .scalar import QueryError
 
 
-def percentile_disc(x: Column, p: float) -> Column:
-    """The value at place floor(p (n-1)) of the sorted values, as a double."""
-    values = F.array_sort(F.collect_list(x.cast("double")))
-    return F.get(values, F.floor(F.lit(min(1.0, max(0.0, p))) * (F.size(values) - 1)).cast("int"))
+def percentile_disc(df: DataFrame, keys: list[Column], x: Column, p: float) -> DataFrame:
+    """The value at place floor(p (n-1)) of each group's sorted values, as column ``_value`` beside the keys ``_k0, _k1, ...``.
+
+    Equal values are counted first; then a running count finds the place. Nothing is collected: a group is a
+    sort that can spill.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = df.select(*named, x.cast("double").alias("_value")).where("_value is not null").groupBy(*names, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    upto, total = F.sum("_n").over(own.orderBy("_value")), F.sum("_n").over(own)
+    place = F.floor(F.lit(min(1.0, max(0.0, p))) * (F.col("_total") - 1))
+    return counts.select("*", upto.alias("_upto"), total.alias("_total")).where((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(*names, "_value")
 
 
 def aggregate(name: str, x: Column | None, kind, distinct: bool, extra: list) -> Column:
@@ -29,9 +39,8 @@ def aggregate(name: str, x: Column | None, kind, distinct: bool, extra: list) ->
         return F.try_divide(F.sum_distinct(x), F.count_distinct(x)) if distinct else F.avg(x)
     if name == "collect":
         return F.collect_set(x) if distinct else F.collect_list(x)
-    if name in ("percentiledisc", "percentilecont"):
-        p = float(extra[0]) if extra else 0.5
-        return percentile_disc(x, p) if name == "percentiledisc" else F.percentile(x.cast("double"), min(1.0, max(0.0, p)))
+    if name == "percentilecont":
+        return F.percentile(x.cast("double"), min(1.0, max(0.0, float(extra[0]) if extra else 0.5)))
     if name == "groupconcat":
         values = F.collect_set(x.cast("string")) if distinct else F.collect_list(x.cast("string"))
         return F.array_join(F.array_sort(values), str(extra[0]) if extra else " ")

@@ -22,7 +22,7 @@ def to_boolean(x: Column, kind: DataType) -> Column:
 
 def to_integer(x: Column, kind: DataType) -> Column:
     if isinstance(kind, StringType):
-        return F.coalesce(x.try_cast("bigint"), F.when(x.try_cast("double").isNotNull(), F.floor(x.try_cast("double"))).try_cast("bigint"))
+        return F.coalesce(x.try_cast("bigint"), x.try_cast("double").try_cast("bigint"))
     return x.try_cast("bigint")
 
 

@@ -724,11 +724,31 @@ class Engine:
         if how == "left":
             new_loose = a.loose | frozenset(v for v in b.kinds if v not in a.kinds) | (b.loose - frozenset(a.kinds))
         right = b.df.select(*[own(v).alias(f"_r_{v}") for v in b.kinds]) if b.kinds else b.df.select(F.lit(1).alias("_r"))
-        meet = [(own(v) == own(f"_r_{v}")) | own(v).isNull() | own(f"_r_{v}").isNull() if v in loose else own(v) == own(f"_r_{v}") for v in shared]
-        df = a.df.join(right, reduce(lambda x, y: x & y, meet, F.lit(True)), how) if shared or how != "inner" else a.df.crossJoin(right)
+        if loose and len(loose) == len(shared):
+            df = self.loose_join(a.df, right, shared, how)
+        else:
+            meet = [self.meets(v, v in loose) for v in shared]
+            df = a.df.join(right, reduce(lambda x, y: x & y, meet, F.lit(True)), how) if shared or how != "inner" else a.df.crossJoin(right)
         out = [(F.coalesce(own(v), own(f"_r_{v}")) if v in loose else own(v)).alias(v) if v in a.kinds else own(f"_r_{v}").alias(v) for v in kinds]
         return Sols(df.select(*out) if out else df.select(F.lit(1).alias("_one")), kinds, new_loose)
 
+    @staticmethod
+    def meets(v: str, loose: bool) -> Column:
+        same = own(v) == own(f"_r_{v}")
+        return same | own(v).isNull() | own(f"_r_{v}").isNull() if loose else same
+
+    def loose_join(self, left: DataFrame, right: DataFrame, shared: list[str], how: str) -> DataFrame:
+        """A join in which every shared variable may be unbound. Rows that bind all of them meet by an equi-join;
+        only rows that leave one open, mostly few or none, are compared with all."""
+        both = lambda x, y: x & y
+        bound = [reduce(both, [own(f"{p}{v}").isNotNull() for v in shared]) for p in ("", "_r_")]
+        (a, a_open), (b, b_open) = ((df.where(c), df.where(~c)) for df, c in zip((left, right), bound))
+        same, maybe = (reduce(both, [self.meets(v, x) for v in shared]) for x in (False, True))
+        parts = [a.join(b, same), a.join(b_open, maybe), a_open.join(right, maybe)]
+        if how == "left":
+            parts += [a.join(b, same, "left_anti").join(b_open, maybe, "left_anti"), a_open.join(right, maybe, "left_anti")]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
     def unit(self) -> Sols:
         return Sols(self.spark.range(1).select(F.lit(1).alias("_one")), {})
 
@@ -801,8 +821,9 @@ class Engine:
         for e in tests:
             both = self.filter(both, e)
         new = [v for v in inner.kinds if v not in s.kinds]
-        right = both.df.select("_row", *[own(v) for v in new])
-        df = marked.df.join(right, "_row", "left").drop("_row")
+        filled = [v for v in inner.kinds if v in s.loose]
+        right = both.df.select("_row", *[own(v) for v in new], *[own(v).alias(f"_r_{v}") for v in filled])
+        df = marked.df.join(right, "_row", "left").withColumns({v: F.coalesce(own(v), own(f"_r_{v}")) for v in filled}).drop("_row", *[f"_r_{v}" for v in filled])
         return Sols(df, {**s.kinds, **{v: inner.kinds[v] for v in new}}, s.loose | frozenset(new))
 
     def minus(self, a: Sols, b: Sols) -> Sols:

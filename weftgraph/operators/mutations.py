@@ -7,8 +7,9 @@ they stay the same if a task runs again.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import QueryError
@@ -147,15 +148,33 @@ class Writing(Lowering):
         frame = frame.bind(cut(frame.df.withColumn("_row", F.monotonically_increasing_id())), _row="value")
         found = self.match(frame, (op.path,), None)
         found = found.with_df(cut(found.df))
-        missing = frame.with_df(frame.df.join(found.df.select("_row"), "_row", "left_anti"))
+        keys = self.merge_keys(frame, op.path)
+        missing = cut(frame.df.join(found.df.select("_row"), "_row", "left_anti").withColumns(keys))
         if not found.df.isEmpty() and op.on_match:
             found = self.set_items(found, op.on_match)
-        if missing.df.isEmpty():
+        if missing.isEmpty():
             return found
-        made = self.create_path(missing, op.path)
+        # of rows that ask for the same pattern the first creates it and the others match what it made
+        first = missing.groupBy(*keys).agg(F.min("_row").alias("_first")) if keys else missing.agg(F.min("_row").alias("_first"))
+        made = self.create_path(frame.with_df(missing.join(first.select(F.col("_first").alias("_row")), "_row", "left_semi")), op.path)
+        new = [v for v in made.kinds if v not in frame.kinds]
+        what = made.df.select(*[F.col(k).alias(f"{k}_") for k in keys], *[col(c) for v in new for c in made.columns_of(v)])
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+        others = missing.join(made.df.select("_row"), "_row", "left_anti").join(what, reduce(lambda a, b: a & b, same) if same else F.lit(True))
+        again = made.with_df(cut(others.drop(*[f"{k}_" for k in keys])))
         if op.on_create:
             made = self.set_items(made, op.on_create)
-        return Frame(found.df.unionByName(made.df, allowMissingColumns=True), {**found.kinds, **made.kinds})
+        if op.on_match and not again.df.isEmpty():
+            again = self.set_items(again, op.on_match)
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [found.df, made.df, again.df])
+        return Frame(out.drop(*keys), {**found.kinds, **made.kinds})
+
+    def merge_keys(self, frame: Frame, path: ir.Path) -> dict[str, Column]:
+        """What tells the patterns of two rows apart: the ids that are bound already and the inline properties."""
+        keys = [col(f"{n.var}@id") for n in path.nodes if n.var in frame.kinds]
+        for x in (*path.nodes, *path.edges):
+            keys += [self.expr(frame, e) for _, e in x.props if x.var not in frame.kinds]
+        return {f"_merge{k}": c for k, c in enumerate(keys)}
 
     def lower_setitems(self, op: ir.SetItems) -> Frame:
         frame = self.lower(op.input)
@@ -175,9 +194,14 @@ class Writing(Lowering):
                 value = self.expr(frame, x)
                 rows = frame.df.select(col(f"{var}@id").alias("id"), value.alias("value")).dropDuplicates(["id"])
                 self.graph = set_property(self.graph, kind, rows, k)
-                frame = frame.with_df(frame.df.withColumn(f"{var}:{k}", value))
+                frame = frame.with_df(frame.df.withColumn(f"{var}:{k}", value.cast(self.stored_type(kind, k) or "string")))
         return frame
 
+    def stored_type(self, kind: str, key: str) -> str | None:
+        """The type of a property's column where all frames agree on it, so that a query returns what it stored."""
+        found = {dict(f.df.dtypes)[key] for f in (self.graph.nodes if kind == "node" else self.graph.edges) if key in f.df.columns}
+        return found.pop() if len(found) == 1 else None
+
     def lower_setlabels(self, op: ir.SetLabels) -> Frame:
         frame = self.lower(op.input)
         frame = frame.with_df(cut(frame.df))

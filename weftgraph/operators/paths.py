@@ -39,22 +39,35 @@ def variable_length(rows: DataFrame, start: str, steps: DataFrame, low: int, hig
 def shortest_paths(pairs: DataFrame, steps: DataFrame, most: int | None = None) -> DataFrame:
     """``_a, _b, _length, _paths`` for the pairs ``_a, _b`` that a path joins: its length and how many there are.
 
-    One breadth-first search for all pairs: the frontier holds each pair's nodes with the number of shortest
-    paths to them; pairs that are reached leave the search.
+    One breadth-first search from every different node of the side that has fewer, along the edges or against
+    them: a source is searched once however many nodes it is paired with. The frontier holds the number of
+    shortest paths to each node; a source leaves the search when it has reached all of its partners.
     """
     pairs = cut(pairs)
-    front = pairs.select("_a", "_b", F.col("_a").alias("_at"), F.lit(1).cast("bigint").alias("_paths"))
-    seen, found, n = front.select("_a", "_b", "_at"), [], 0
+    n_a, n_b = pairs.agg(F.count_distinct("_a"), F.count_distinct("_b")).first()
+    backwards = n_b < n_a
+    hop = steps.groupBy(F.col("_to" if backwards else "_from").alias("_here"), F.col("_from" if backwards else "_to").alias("_next")).agg(F.count(F.lit(1)).alias("_ways"))
+    left = pairs.select(F.col("_b" if backwards else "_a").alias("_s"), F.col("_a" if backwards else "_b").alias("_t"))
+    front = left.select("_s").distinct().select("_s", F.col("_s").alias("_at"), F.lit(1).cast("bigint").alias("_paths"))
+    seen, found, n = [front.select("_s", "_at")], [], 0
     limit = most if most is not None else 1 << 30
-    hop = steps.groupBy("_from", "_to").agg(F.count(F.lit(1)).alias("_ways"))
     while True:
-        done = front.where("_at = _b").select("_a", "_b", F.lit(n).cast("bigint").alias("_length"), "_paths")
-        found.append(done)
-        rest = front.where("_at <> _b").join(done.select("_a", "_b"), ["_a", "_b"], "left_anti")
+        met = left.join(front.withColumnRenamed("_at", "_t"), ["_s", "_t"]).select("_s", "_t", F.lit(n).cast("bigint").alias("_length"), "_paths")
+        found.append(met)
         n += 1
-        if n > limit or rest.isEmpty():
+        if n > limit:
             break
-        moved = rest.join(hop, F.col("_at") == F.col("_from")).groupBy("_a", "_b", F.col("_to").alias("_at")).agg(F.sum(F.col("_paths") * F.col("_ways")).alias("_paths"))
-        front = cut(moved.join(seen, ["_a", "_b", "_at"], "left_anti"))
-        seen = cut(seen.unionAll(front.select("_a", "_b", "_at")).distinct())
-    return reduce(DataFrame.unionAll, found)
+        left = cut(left.join(met.select("_s", "_t"), ["_s", "_t"], "left_anti"))
+        # a node can be met again at any earlier depth, so all of them are kept, folded now and then
+        known = reduce(DataFrame.unionAll, seen)
+        if len(seen) > UNROLL:
+            known = cut(known)
+            seen = [known]
+        live = front.join(left.select("_s").distinct(), "_s", "left_semi")
+        moved = live.join(hop, F.col("_at") == F.col("_here")).groupBy("_s", F.col("_next").alias("_at")).agg(F.sum(F.col("_paths") * F.col("_ways")).alias("_paths"))
+        front = cut(moved.join(known, ["_s", "_at"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen.append(front.select("_s", "_at"))
+    out = reduce(DataFrame.unionAll, found)
+    return out.select(F.col("_t" if backwards else "_s").alias("_a"), F.col("_s" if backwards else "_t").alias("_b"), "_length", "_paths")

@@ -10,18 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. A local session that names
+    none gets a temporary folder; on a cluster that would be a different folder on every machine, so there it is an
+    error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "weftgraph-checkpoints"))
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftgraph-checkpoints"))
         found = sc._jsc.sc().getCheckpointDir()
-    return found.get().rstrip("/")
+        forget_at_exit(spark, found.get())
+    return (named or found.get()).rstrip("/")
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends; its tables serve this session alone."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    forget_at_exit(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,8 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, as Parquet: compressed, and read with column pruning."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
-
+    return df.sparkSession.read.parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions import scalar
-from ..functions.aggregates import aggregate
+from ..functions.aggregates import aggregate, percentile_disc
 from ..functions.scalar import QueryError
 from ..operators import paths
 from ..sources.graph import PropertyGraph
@@ -77,10 +77,12 @@ class Lowering:
                 self.used.setdefault(x.var, set()).update(k for k, _ in x.props)
             elif isinstance(x, ir.Item) and isinstance(x.expr, ir.Var):
                 renamed.setdefault(x.expr.name, set()).add(x.alias)
+            elif isinstance(x, ir.Call) and x.name.lower() == "count" and not x.distinct and x.args and isinstance(x.args[0], ir.Var):
+                pass  # only asks whether it is bound
             elif isinstance(x, ir.Call) and x.args and isinstance(x.args[0], ir.Var):
                 self.used.setdefault(x.args[0].name, set()).add("@id")
             elif isinstance(x, ir.WRITES):
-                for v in [*getattr(x, "vars", ()), getattr(x, "var", None)]:
+                for v in [*getattr(x, "vars", ()), getattr(x, "var", None), *(i[0] for i in (*getattr(x, "items", ()), *getattr(x, "on_create", ()), *getattr(x, "on_match", ())))]:
                     if v:
                         self.used.setdefault(v, set()).add("@id")
             if isinstance(x, ir.Project):
@@ -526,6 +528,7 @@ class Lowering:
         """Implicit grouping: items without an aggregate are keys; a node or edge is grouped by its id."""
         keys, wanted, kinds = [], [], {}
         calls: dict[ir.Expr, str] = {}
+        places: list[tuple[str, DataFrame]] = []
 
         def pulled(e):
             if isinstance(e, ir.Call) and e.name.lower() in ir.AGGREGATES:
@@ -558,12 +561,28 @@ class Lowering:
         if having is not None:
             having = placed(substituted(having, {it.alias: it.expr for it in items}))
         for e, name in calls.items():
-            arg = None if e.star or not e.args else self.expr(frame, e.args[0])
+            arg = None if e.star or not e.args else self.counted(frame, e) if e.name.lower() == "count" else self.expr(frame, e.args[0])
             kind = self.kind(frame, arg) if arg is not None and e.name.lower() == "sum" else None
             extra = [a.value if isinstance(a, ir.Lit) else self.params[a.name] for a in e.args[1:]]
-            wanted.append(aggregate(e.name, arg, kind, e.distinct, extra).alias(name))
             kinds[name] = "value"
-        return Frame(frame.df.groupBy(*keys).agg(*wanted), kinds), new_items, order, having
+            if e.name.lower().replace("_", "") == "percentiledisc" and arg is not None:
+                places.append((name, percentile_disc(frame.df, keys, arg, float(extra[0]) if extra else 0.5)))
+            else:
+                wanted.append(aggregate(e.name, arg, kind, e.distinct, extra).alias(name))
+        df = frame.df.groupBy(*keys).agg(*(wanted or [F.count(F.lit(1)).alias("_rows")]))
+        own_keys = df.columns[: len(keys)]
+        for name, found in places:
+            same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(own_keys)], F.lit(True))
+            df = df.join(found, same, "left").withColumnRenamed("_value", name).drop(*[f"_k{i}" for i in range(len(keys))])
+        return Frame(df, kinds), new_items, order, having
+
+
+    def counted(self, frame: Frame, e: ir.Call) -> Column:
+        """What a count counts; of an edge its source will do, so that edges need no id for it."""
+        x = e.args[0]
+        if isinstance(x, ir.Var) and frame.kinds.get(x.name) == "edge" and not e.distinct:
+            return col(f"{x.name}@src")
+        return self.expr(frame, x)
 
 
 def conjuncts(e: ir.Expr) -> list[ir.Expr]:

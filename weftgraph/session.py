@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.scalar import QueryError
 from .operators import mutations
 from .plans import ir
+from .plans.lineage import cut
 from .plans.lower import Lowering
 from .sources.graph import PropertyGraph
 from .sources.rdf import TripleStore
@@ -37,6 +40,7 @@ class Database:
         self.graph = graph or PropertyGraph(spark)
         self.triples = triples or TripleStore.empty(spark)
         self._held: list[tuple[PropertyGraph, TripleStore]] = []
+        self._path: str | None = None
 
     # -- queries -----------------------------------------------------------------------------------------
 
@@ -77,6 +81,14 @@ class Database:
         self.triples, out = sparql.execute(self.spark, self.triples, query, params)
         return out
 
+    def query(self, text: str) -> Query:
+        """A GQL query whose parameters are given one by one."""
+        return Query(self, text)
+
+    async def execute_async(self, query: str, params: dict | None = None) -> list:
+        """Rows of a GQL query; the event loop goes on while Spark works."""
+        return await asyncio.to_thread(lambda: self.execute(query, params).collect())
+
     # -- direct updates ------------------------------------------------------------------------------------
 
     def create_node(self, labels: list[str], properties: dict | None = None) -> int:
@@ -105,13 +117,28 @@ class Database:
         rows = self.spark.createDataFrame([(node_id,)], "id bigint").withColumn("value", F.lit(value))
         self.graph = mutations.set_property(self.graph, "node", rows, key)
 
-    def remove_node_property(self, node_id: int, key: str) -> None:
-        self.set_node_property(node_id, key, None)
+    def remove_node_property(self, node_id: int, key: str) -> bool:
+        """Whether the node had the property."""
+        had = key in (self.get_node(node_id) or {"properties": {}})["properties"]
+        if had:
+            self.set_node_property(node_id, key, None)
+        return had
 
     def set_edge_property(self, edge_id: int, key: str, value) -> None:
         rows = self.spark.createDataFrame([(edge_id,)], "id bigint").withColumn("value", F.lit(value))
         self.graph = mutations.set_property(self.graph, "edge", rows, key)
 
+    def remove_edge_property(self, edge_id: int, key: str) -> bool:
+        """Whether the edge had the property."""
+        had = key in (self.get_edge(edge_id) or {"properties": {}})["properties"]
+        if had:
+            self.set_edge_property(edge_id, key, None)
+        return had
+
+    def get_node_labels(self, node_id: int) -> list[str] | None:
+        found = self.get_node(node_id)
+        return None if found is None else found["labels"]
+
     def add_node_label(self, node_id: int, label: str) -> None:
         self.graph = mutations.set_labels(self.graph, self.spark.createDataFrame([(node_id,)], "id bigint"), [label], False)
 
@@ -139,6 +166,10 @@ class Database:
             raise QueryError("no transaction")
         self.graph, self.triples = self._held.pop()
 
+    def begin_transaction(self) -> Database:
+        """For ``with``: commits at the end, rolls back on an error."""
+        return self
+
     def __enter__(self) -> Database:
         self.begin()
         return self
@@ -160,7 +191,12 @@ class Database:
         return self.graph.schema()
 
     def info(self) -> dict:
-        return {"nodes": self.node_count, "edges": self.edge_count, "labels": self.graph.labels(), "edge_types": self.graph.edge_types()}
+        return {"nodes": self.node_count, "edges": self.edge_count, "labels": self.graph.labels(), "edge_types": self.graph.edge_types(), "is_persistent": self.is_persistent, "path": self.path}
+
+    def stats(self) -> dict:
+        """Sizes: nodes, edges, different labels, different property keys."""
+        keys = {p for f in (*self.graph.nodes, *self.graph.edges) for p in f.properties}
+        return {"node_count": self.node_count, "edge_count": self.edge_count, "label_count": len(self.graph.labels()), "property_count": len(keys)}
 
     def detailed_stats(self) -> DataFrame:
         """Counts by label and edge type: ``kind, name, n``."""
@@ -180,10 +216,66 @@ class Database:
 
         return Algorithms(self.graph)
 
+    def as_networkx(self, directed: bool = True):
+        from .algo.adapters import NetworkXAdapter
+
+        return NetworkXAdapter(self.algorithms(), directed)
+
+    def as_solvor(self):
+        from .algo.adapters import SolvorAdapter
+
+        return SolvorAdapter(self.algorithms())
+
+    # -- snapshots -------------------------------------------------------------------------------------------
+
+    @property
+    def path(self) -> str | None:
+        """Where the database was opened from or saved to last."""
+        return self._path
+
+    @property
+    def is_persistent(self) -> bool:
+        return self._path is not None
+
     def save(self, path: str) -> None:
+        """A new snapshot at ``path``; those that are there already stay as they are."""
         self.graph.save(f"{path}/graph")
         self.triples.save(f"{path}/triples")
 
+    def close(self) -> None:
+        """Save to the path the database was opened from, if there is one, and end open transactions."""
+        self._held.clear()
+        if self._path is not None:
+            self.save(self._path)
+
+    def to_memory(self) -> Database:
+        """A copy that reads none of this database's files; it lives in the session's shared folder."""
+        nodes = tuple(replace(f, df=cut(f.df)) for f in self.graph.nodes)
+        edges = tuple(replace(f, df=cut(f.df)) for f in self.graph.edges)
+        triples = replace(self.triples, df=cut(self.triples.df))
+        return Database(self.spark, replace(self.graph, nodes=nodes, edges=edges), triples, max_hops=self.max_hops, walks=self.walks)
+
     @staticmethod
     def open(spark: SparkSession, path: str) -> Database:
-        return Database(spark, PropertyGraph.open(spark, f"{path}/graph"), TripleStore.open(spark, f"{path}/triples"))
+        """The last snapshot at ``path``."""
+        db = Database(spark, PropertyGraph.open(spark, f"{path}/graph"), TripleStore.open(spark, f"{path}/triples"))
+        db._path = path
+        return db
+
+    @staticmethod
+    def open_in_memory(spark: SparkSession, path: str) -> Database:
+        return Database.open(spark, path).to_memory()
+
+
+class Query:
+    """A query text and its parameters."""
+
+    def __init__(self, db: Database, text: str):
+        self.db, self.text, self.params = db, text, {}
+
+    def param(self, name: str, value) -> Query:
+        self.params[name] = value
+        return self
+
+    def execute(self) -> DataFrame:
+        return self.db.execute(self.text, self.params)

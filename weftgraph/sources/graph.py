@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,22 +29,29 @@ class NodeFrame:
 @dataclass(frozen=True)
 class EdgeFrame:
     """Edges of one type: ``src, dst BIGINT`` and properties, ``id`` where edges have ids of their own.
-    ``from_labels`` and ``to_labels`` name a label that every source or target has, where that is known."""
+    ``from_labels`` and ``to_labels`` name a label that every source or target has, where that is known;
+    ``unique`` says that no two rows are equal."""
 
     type: str
     df: DataFrame
     from_labels: frozenset[str] = frozenset()
     to_labels: frozenset[str] = frozenset()
+    unique: bool = False
 
     @property
     def properties(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("id", "src", "dst")]
 
     def with_id(self) -> DataFrame:
-        """Edges with an id: their own, or a hash of the whole row."""
+        """Edges with an id: their own, or a hash of the whole row. Equal rows are numbered first, so that parallel
+        edges without any property to tell them apart are edges of their own; ``unique`` rows need no number."""
         if "id" in self.df.columns:
             return self.df
-        return self.df.withColumn("id", F.xxhash64(F.lit(self.type), *self.df.columns))
+        columns = [F.col(f"`{c}`") for c in self.df.columns]
+        if self.unique:
+            return self.df.withColumn("id", F.xxhash64(F.lit(self.type), *columns))
+        nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+        return self.df.withColumn("_nth", nth).withColumn("id", F.xxhash64(F.lit(self.type), "_nth", *columns)).drop("_nth")
 
 
 @dataclass(frozen=True)
@@ -104,8 +113,8 @@ class PropertyGraph:
     def add_nodes(self, df: DataFrame, labels: Iterable[str], dynamic: bool = False) -> PropertyGraph:
         return replace(self, nodes=(*self.nodes, NodeFrame(frozenset(labels), df, dynamic)))
 
-    def add_edges(self, df: DataFrame, type: str, from_labels: Iterable[str] = (), to_labels: Iterable[str] = ()) -> PropertyGraph:
-        return replace(self, edges=(*self.edges, EdgeFrame(type, df, frozenset(from_labels), frozenset(to_labels))))
+    def add_edges(self, df: DataFrame, type: str, from_labels: Iterable[str] = (), to_labels: Iterable[str] = (), unique: bool = False) -> PropertyGraph:
+        return replace(self, edges=(*self.edges, EdgeFrame(type, df, frozenset(from_labels), frozenset(to_labels), unique)))
 
     @staticmethod
     def of_rows(spark: SparkSession, nodes: list[tuple[int, list[str], dict]], edges: list[tuple[int, int, str, dict]]) -> PropertyGraph:
@@ -126,27 +135,47 @@ class PropertyGraph:
     # -- persistence ----------------------------------------------------------------------------------
 
     def save(self, path: str) -> None:
-        """A snapshot: one Parquet folder per frame, its facts in the folder's name."""
-        spark = self.spark
-        manifest = []
+        """A snapshot: one Parquet folder per frame in a folder of its own, then the manifest's rows for it.
+
+        Earlier snapshots stay, so a graph that was opened from ``path`` can be changed and saved there again;
+        a reader sees the snapshot before until the manifest has the new one.
+        """
+        version = max([0, *(r["version"] for r in manifest(self.spark, path))]) + 1
+        own = f"v{version}-{uuid.uuid4().hex[:8]}"
+        rows = []
         for k, f in enumerate(self.nodes):
-            f.df.write.mode("overwrite").parquet(f"{path}/nodes-{k}")
-            manifest.append(("node", f"nodes-{k}", sorted(f.labels), f.dynamic, [], []))
+            f.df.write.parquet(f"{path}/{own}/nodes-{k:04d}")
+            rows.append((version, "node", f"{own}/nodes-{k:04d}", sorted(f.labels), f.dynamic, [], [], False))
         for k, f in enumerate(self.edges):
-            f.df.write.mode("overwrite").parquet(f"{path}/edges-{k}")
-            manifest.append(("edge", f"edges-{k}", [f.type], False, sorted(f.from_labels), sorted(f.to_labels)))
-        spark.createDataFrame(manifest, "kind string, folder string, names array<string>, dynamic boolean, from_labels array<string>, to_labels array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+            f.df.write.parquet(f"{path}/{own}/edges-{k:04d}")
+            rows.append((version, "edge", f"{own}/edges-{k:04d}", [f.type], False, sorted(f.from_labels), sorted(f.to_labels), f.unique))
+        if not rows:
+            rows = [(version, "none", "", [], False, [], [], False)]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> PropertyGraph:
-        graph = PropertyGraph(spark)
-        rows = spark.read.schema("kind string, folder string, names array<string>, dynamic boolean, from_labels array<string>, to_labels array<string>").json(f"{path}/manifest").orderBy("folder").collect()
-        for r in rows:
+        graph, rows = PropertyGraph(spark), manifest(spark, path)
+        if not rows:
+            raise FileNotFoundError(f"no graph at {path}")
+        last = max(r["version"] for r in rows)
+        for r in sorted((r for r in rows if r["version"] == last and r["kind"] != "none"), key=lambda r: r["folder"]):
             df = spark.read.parquet(f"{path}/{r['folder']}")
-            graph = graph.add_nodes(df, r["names"], r["dynamic"]) if r["kind"] == "node" else graph.add_edges(df, r["names"][0], r["from_labels"] or (), r["to_labels"] or ())
+            graph = graph.add_nodes(df, r["names"], r["dynamic"]) if r["kind"] == "node" else graph.add_edges(df, r["names"][0], r["from_labels"] or (), r["to_labels"] or (), bool(r["unique"]))
         return graph
 
 
+MANIFEST = "version int, kind string, folder string, names array<string>, dynamic boolean, from_labels array<string>, to_labels array<string>, unique boolean"
+
+
+def manifest(spark: SparkSession, path: str) -> list:
+    """Rows of all snapshots at a path; none where nothing was saved."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{path}/manifest").collect()
+    except AnalysisException:
+        return []
+
+
 _KINDS = {bool: "boolean", int: "bigint", float: "double", str: "string", bytes: "binary"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import lru_cache, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,20 @@ class TripleStore:
         return replace(self, df=self.df.join(rows.select("s", "p", "o", "g").distinct(), ["s", "p", "o", "g"], "left_anti"))
 
     def save(self, path: str) -> None:
-        self.df.write.mode("overwrite").partitionBy("p").parquet(path) if not self.df.isEmpty() else self.df.write.mode("overwrite").parquet(path)
+        """A snapshot in a folder of its own, split by predicate; the list of snapshots gets it when it is whole."""
+        version = max([0, *snapshots(self.spark, path)]) + 1
+        rows = self.df.select("s", F.col("p"), "o", "g")
+        rows.write.partitionBy("p").parquet(f"{path}/v{version}") if not rows.isEmpty() else rows.write.parquet(f"{path}/v{version}")
+        graphs = sorted(self.graphs)
+        self.spark.createDataFrame([(version, graphs)], "version int, graphs array<string>").coalesce(1).write.mode("append").json(f"{path}/snapshots")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> TripleStore:
-        return TripleStore(spark, spark.read.schema(SCHEMA).parquet(path).select("s", "p", "o", "g"))
+        found = snapshots(spark, path)
+        if not found:
+            raise FileNotFoundError(f"no triples at {path}")
+        version = max(found)
+        return TripleStore(spark, spark.read.schema(SCHEMA).parquet(f"{path}/v{version}").select("s", "p", "o", "g"), frozenset(found[version]))
 
     @staticmethod
     def of_triples(spark: SparkSession, triples: list[tuple]) -> TripleStore:
@@ -72,6 +82,14 @@ class TripleStore:
         return TripleStore.empty(spark).insert(spark.createDataFrame(rows, SCHEMA))
 
 
+def snapshots(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """Versions that were saved at a path, with the names of their graphs."""
+    try:
+        return {r["version"]: r["graphs"] or [] for r in spark.read.schema("version int, graphs array<string>").json(f"{path}/snapshots").collect()}
+    except AnalysisException:
+        return {}
+
+
 def read_ntriples(spark: SparkSession, path: str, graph: str = "") -> DataFrame:
     """N-Triples lines as triples, by built-in regular expressions."""
     line = F.col("value")

@@ -47,14 +47,15 @@ def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         ("CONTAINS", "lineitem", "Order", "l_orderkey", "Part", "l_partkey", {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "supplier": "l_suppkey", "shipdate": "l_shipdate"}),
     )
     for name, table, a, ka, b, kb, props in edges:
-        g = g.add_edges(_edges(t[table], a, ka, b, kb, **props), name, [a], [b])
+        # a row of a table with a primary key is one edge; only order lines may repeat
+        g = g.add_edges(_edges(t[table], a, ka, b, kb, **props), name, [a], [b], unique=table in ("nation", "customer", "supplier", "orders"))
     pairs = t["lineitem"].select("l_partkey", "l_suppkey").distinct()
-    return g.add_edges(_edges(pairs, "Part", "l_partkey", "Supplier", "l_suppkey"), "SUPPLIED_BY", ["Part"], ["Supplier"])
+    return g.add_edges(_edges(pairs, "Part", "l_partkey", "Supplier", "l_suppkey"), "SUPPLIED_BY", ["Part"], ["Supplier"], unique=True)
 
 
-def co_purchase(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """``src < dst``: pairs of parts that share an order; ``every`` keeps orders whose key it divides."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_orderkey") % every == 0).select("l_orderkey", "l_partkey").distinct()
+def co_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src < dst``: pairs of parts that share an order."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
     other = lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     return lines.withColumnRenamed("l_partkey", "src").join(other, "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
