@@ -14,14 +14,12 @@ def graphs():
     rng = random.Random(5)
     dense = [(a, b) for a, b in itertools.combinations(range(16), 2) if rng.random() < 0.3]
     return {
-        "dense": dense + [(50, 51), (51, 52), (60, 60)],
-        "path": [(k, k + 1) for k in range(6)],
+        "dense": dense + [(50, 51), (50, 51), (51, 52), (60, 60)],
         "cycle": [(0, 1), (1, 2), (2, 0), (2, 3), (4, 0)],
-        "parallel": [(1, 2), (1, 2), (2, 3), (1, 3), (1, 4), (1, 5), (1, 6)],
     }
 
 
-@pytest.fixture(scope="module", params=sorted(graphs()))
+@pytest.fixture(scope="module", params=["cycle", "dense"])
 def both(request, spark):
     rows = graphs()[request.param]
     edges = spark.createDataFrame(rows, "src long, dst long")
@@ -45,10 +43,10 @@ def test_both_ways_agree(both):
     start = rows[0][0]
     assert table(a.bfs(start), "id", "depth") == table(far.bfs(start), "id", "depth")
     assert table(a.connected_components(), "id", "component") == table(far.connected_components(), "id", "component")
-    assert near(table(a.pagerank(), "id", "score"), table(far.pagerank(), "id", "score"))
-    assert abs(sum(table(far.pagerank(), "id", "score").values()) - 1) < 1e-9
+    score = table(far.pagerank(max_iterations=10), "id", "score")
+    assert near(table(a.pagerank(max_iterations=10), "id", "score"), score) and abs(sum(score.values()) - 1) < 1e-9
     assert table(a.kcore(), "id", "core") == table(far.kcore(), "id", "core")
-    assert table(a.label_propagation(9), "id", "label") == table(far.label_propagation(9), "id", "label")
+    assert table(a.label_propagation(4), "id", "label") == table(far.label_propagation(4), "id", "label")
     assert near(table(a.closeness_centrality(), "id", "score"), table(far.closeness_centrality(), "id", "score"))
     (x, whole), (y, same) = a.topological_layers(), far.topological_layers()
     assert table(x, "id", "layer") == table(y, "id", "layer") and whole == same
