@@ -293,11 +293,20 @@ def test_boilerplate_depletes(spark):
     rows += [(100 + i, line(100) + "\n" + common, "h") for i in range(5)]  # mostly their own
     rows += [(200 + i, common + "\n" + line(10), "other") for i in range(3)]  # rare on its host
     copy = "\n".join(line(20) for _ in range(5))
-    rows += [(300 + i, copy + "\n" + line(20), "h") for i in range(40)]  # near copies of one document
-    got = by_id(quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=20))
+    rows += [(300 + i, copy + "\n" + line(20), "large") for i in range(40)]  # near copies, 4 % of their host
+    rows += [(1000 + i, line(60), "large") for i in range(960)]
+    got = by_id(quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")))
     assert not any(got[i]["kept"] for i in range(30))
-    assert all(got[i]["kept"] for i in [*range(100, 105), *range(200, 203), *range(300, 340)])
-    assert got[100]["left_words"] == 100
+    assert all(got[i]["kept"] for i in [*range(100, 105), *range(200, 203), *range(300, 340), *range(1000, 1960)])
+    assert got[100]["left_words"] == 100 and got[300]["left_words"] == 120
+    # the same lines over the share of a smaller host are boilerplate
+    small = [(i, t, "h") for i, t, h in rows if h == "large"][:700]
+    got = by_id(quality.apply_rules(spark.createDataFrame(small, "doc_id long, text string, source string")))
+    assert not any(got[i]["kept"] for i in range(300, 340)) and got[300]["left_words"] == 20 and got[1000]["kept"]
+    # a document is depleted below 50 words, or below 30 % of its words
+    rows = [(i, common + "\n" + line(n), "h") for i, n in enumerate([49, 50, 300] + [10] * 30)]
+    got = by_id(quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert [got[i]["kept"] for i in range(3)] == [False, True, True]
 
 
 def test_lines_are_counted_over_all_different_documents(spark, tmp_path):
@@ -311,7 +320,24 @@ def test_lines_are_counted_over_all_different_documents(spark, tmp_path):
     rows += [(5000 + i, rows[0][1], "copies") for i in range(300)]  # one text
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {i: r["kept"] for i, r in by_id(corpus.op8_quality_rules(spark, str(tmp_path))).items()}
-    assert got == {i: i >= 4000 for i, _, _ in rows}
+    assert got == {i: i >= 5000 for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("common", [1, 2, 3])
+def test_line_counts_against_brute_force(spark, common):
+    """Documents of several hosts with common lines, at every place in the order of hashes."""
+    rng = random.Random(common)
+    line = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    shared = {h: [line(14) for _ in range(common)] for h in "abc"}
+    rows = [(k, "\n".join([x for x in shared[h] if rng.random() < p] + [line(50)]), h) for k, (h, p) in enumerate((h, p) for h, p, n in (("a", 0.9, 120), ("b", 0.3, 90), ("c", 0.04, 100)) for _ in range(n))]
+    rows += [(900, rows[0][1], "a"), (901, None, "a"), (902, "", None), (903, rows[0][1], None)]
+    got = by_id(quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    for i, text, host in rows:
+        own = {t for _, t, h in rows if h == host}
+        gone = [x for x in (text or "").split("\n") if (n := sum(x in (t or "").split("\n") for t in own)) > 20 and n > 0.05 * len(own)]
+        left = len((text or "").split()) - sum(len(x.split()) for x in gone)
+        assert got[i]["kept"] == (left >= 50 and left >= 0.3 * len((text or "").split()))
+        assert got[i]["left_words"] == (left if text else 0)
 
 
 def components(sets, percent):

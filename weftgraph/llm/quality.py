@@ -1,12 +1,11 @@
 """Quality rules: statistics of each text, then the frequency of its lines across documents.
 
 Lines are normalised (A-Z lowered, digits to 0, white space to one space) and hashed. For each host the
-different documents of each line are counted; lines of more than ``max_docs`` documents are boilerplate and
-are removed; a document that keeps too little is depleted and rejected.
-
-The registered queries count exactly: a document is known by the hash of its text, so equal texts count once.
-With ``near_copies_once`` it is known by the smallest hash among its *other* lines. Near copies of one document
-then count once, but so may different documents that have another line in common, and counts come out too low.
+different documents of each line are counted exactly; a document is known by the hash of its text, so equal texts
+count once. A line is boilerplate if more than ``min_docs`` documents and more than the share ``max_share`` of
+its host's documents have it; such lines are removed, and a document that keeps too little is depleted and
+rejected. The share lets the limit follow the size of a host, so that a group of near copies in a large host is no
+boilerplate; the floor keeps small hosts out.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ _NOT_STARTS = bytes(range(0x80, 0xC0))
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_WIDE = "doc_id long, host string, th long, " + ", ".join(f"{c} long" for c in STATS) + ", m1 long, m2 long, lines array<struct<h: long, w: int>>"
+_WIDE = "doc_id long, host string, th long, " + ", ".join(f"{c} long" for c in STATS) + ", lines array<struct<h: long, w: int>>"
 
 
 def repeat_words(texts: list[bytes], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -79,30 +78,28 @@ def line_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             n_words, repeats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for low, part in parts(texts):
                 n_words[low : low + len(part)], repeats[low : low + len(part)] = repeat_words(part)
-            chars, symbols, dups, m1, m2, lines = [], [], [], [], [], []
+            chars, symbols, dups, lines = [], [], [], []
             for t in texts:
                 chars.append(len(t.translate(None, _BLANK + _NOT_STARTS)))
                 symbols.append(len(t) - len(t.translate(None, _SYMBOLS)))
                 again, found = line_table(t)
                 dups.append(again)
-                least = sorted(found)[:2]
-                m1.append(least[0] if least else None)
-                m2.append(least[1] if len(least) > 1 else None)
                 lines.append([{"h": h, "w": w} for h, w in found.items()])
-            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in (n_words, chars, symbols, dups, repeats, m1, m2)), pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "th", *STATS, "m1", "m2", "lines"])
+            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in (n_words, chars, symbols, dups, repeats)), pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "th", *STATS, "lines"])
 
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("th"), text.alias("text"))
     return narrow.mapInArrow(measure, _WIDE)
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 200, min_left: int = 25, min_share: float = 0.3, near_copies_once: bool = True) -> DataFrame:
+def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, min_left: int = 50, min_share: float = 0.3) -> DataFrame:
     """One row per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept, text_hash``.
 
     ``base_failed``: under 50 words, or over half the words in repeated 3-word windows. Of the others a
-    document is kept unless removing lines that more than ``max_docs`` documents of its host have leaves
-    under ``min_left`` words or under ``min_share`` of its words.
+    document is kept unless removing its boilerplate lines (those of more than ``min_docs`` documents and more than
+    ``max_share`` of the documents of its host) leaves under ``min_left`` words or under ``min_share`` of its words.
+    ``left_words`` is what they leave; of a text that fails the base rules no line is removed.
 
     A null or empty text has no words and fails the base rules. Null hosts are one host. Rows repeated with
     the same id, host and text give one row each. An empty table gives an empty one. Counts are summed in
@@ -111,10 +108,10 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     wide = written(line_stats(docs, id_col=id_col, text_col=text_col, host_col=host_col), "quality-lines")
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit(""))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    line = wide.select("doc_id", "host", "th", "m1", "m2", failed.alias("base_failed"), host.alias("hk"), F.explode("lines").alias("line")).select("*", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    other = F.when(F.col("h") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1"))
-    known_by = other if near_copies_once else F.col("th")
-    frequent = line.select("hk", "h", known_by.alias("known_by")).distinct().groupBy("hk", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs).select("hk", "h")
+    line = wide.select("doc_id", "host", "th", failed.alias("base_failed"), host.alias("hk"), F.explode("lines").alias("line")).select("*", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    documents = wide.select(host.alias("hk"), "th").distinct().groupBy("hk").agg(F.count(F.lit(1)).alias("n_host"))
+    counts = line.select("hk", "h", "th").distinct().groupBy("hk", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    frequent = counts.join(documents, "hk").where(F.col("n_docs") > max_share * F.col("n_host")).select("hk", "h")
     hits = line.where("not base_failed").join(frequent, ["hk", "h"], "left_semi").select("doc_id", "host", "th", F.lit(None).cast("struct<" + ",".join(f"{c}:bigint" for c in STATS) + ">").alias("stats"), F.col("w").cast("long").alias("removed"))
     own = wide.select("doc_id", "host", "th", F.struct(*STATS).alias("stats"), F.lit(0).cast("long").alias("removed"))
     both = own.unionByName(hits).groupBy("doc_id", "host", "th").agg(F.max("stats").alias("stats"), F.sum("removed").alias("removed"), F.count("stats").alias("copies"))

@@ -48,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(table(spark, sf_dir, "documents"), near_copies_once=False)
+    return quality.apply_rules(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,23 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 #: The other operators hold a tokenizer or a fitted model, which SQL cannot express: tests/llm has brute force.
 ORACLE: dict[str, str] = {
+    "op8_quality_rules": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM d),
+        win AS (SELECT doc_id, i, w[i : i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+        l AS (SELECT doc_id, source, text, line, {_WORDS.format("line")} AS lw FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM d)),
+        k AS (SELECT *, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS key FROM l WHERE len(lw) > 0),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k GROUP BY 1),
+        hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY 1),
+        often AS (SELECT c.source, key FROM (SELECT source, key, count(DISTINCT text) AS n FROM k GROUP BY 1, 2) c JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n > 20 AND c.n > 0.05 * h.n),
+        gone AS (SELECT doc_id, sum(len(lw)) AS n FROM k JOIN often o ON o.key = k.key AND o.source IS NOT DISTINCT FROM k.source GROUP BY 1),
+        s AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS gone FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN n_words ELSE n_words - gone END AS left_words,
+            NOT base_failed AND n_words - gone >= 50 AND n_words - gone >= 0.3 * n_words AS kept FROM b""",
     "op9_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"coalesce({_LOWER}, '')")} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
