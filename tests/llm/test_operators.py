@@ -16,7 +16,7 @@ import sentencepiece  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from weftgraph.llm import bpe, count_tree, jaccard_join, langid, lm_scoring, neighbours, packing, pieces, quality, substring_dedup, token_counts, toxicity  # noqa: E402
+from weftgraph.llm import blocks, bpe, count_tree, jaccard_join, langid, lm_scoring, neighbours, packing, pieces, quality, substring_dedup, token_counts, toxicity  # noqa: E402
 from weftgraph.llm import queries as corpus  # noqa: E402
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -408,15 +408,31 @@ def test_substring_dedup(docs, texts, empty):
         assert (r["n_words"], r["n_removed"]) == (len(w), len(gone))
         assert r["kept_sha256"] == hashlib.sha256(b" ".join(kept)).hexdigest()
         assert words(r["text"]) == kept and (gone or r["text"] == t)
-        assert sum(s["length"] for s in r["spans"]) == len(gone)
+        copied = set()
+        for f in r["factors"]:  # each is a copy of what an earlier document has, from its first place on
+            a, size, source, at = f["start"], f["length"], f["source"], f["source_start"]
+            assert size >= n and source < i and words(texts[source])[at : at + size] == w[a : a + size]
+            assert first[tuple(w[a : a + n])] == source
+            copied |= set(range(a, a + size))
+        assert copied == gone
         some += bool(gone)
     assert some > 20 and out.count() == docs.count() and substring_dedup.remove_repeats(empty).count() == 0
 
 
 def test_factors_meet_at_their_borders():
-    flags = np.array([0, 1, 1, 0, 0, 1, 0], bool)
-    assert substring_dedup.factors(flags, 4) == [(1, 5), (5, 4)]
-    assert substring_dedup.merged([(1, 5), (5, 4), (12, 4)]) == [(1, 8), (12, 4)]
+    there = np.array([0, 1, 1, 1, 0, 1, 0], bool)
+    source, place = np.array([0, 7, 7, 5, 0, 5, 0]), np.array([0, 3, 4, 9, 0, 11, 0])
+    found = substring_dedup.factors(source, place, there, 4)
+    assert found == [(1, 5, 7, 3), (3, 4, 5, 9), (5, 4, 5, 11)]  # the second begins inside the first and crosses its border
+    assert substring_dedup.merged(found) == [(1, 8)] and substring_dedup.factors(source, place, there & False, 4) == []
+
+
+def test_packed_ints():
+    for x in ([], [5], [7, 7, 262], [-(1 << 63), (1 << 63) - 1, 0], [1 << 40, (1 << 40) + 70000]):
+        x = np.array(x, np.int64)
+        blob = blocks.packed_ints(x) + blocks.packed_ints(x[::-1])
+        a, b = blocks.unpacked_ints(blob, len(x), 2)
+        assert (a == x).all() and (b == x[::-1]).all() and len(blob) >= 18
 
 
 def test_toxicity(spark, docs, empty):

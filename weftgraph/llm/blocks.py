@@ -86,3 +86,22 @@ def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
     out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
     return out
+
+
+def packed_ints(values: np.ndarray) -> bytes:
+    """Whole numbers as their distance from the least, in as few bytes each as the largest distance needs."""
+    low = int(values.min()) if len(values) else 0
+    above = (values.astype(np.int64).view(np.uint64) - np.array(low, np.int64).view(np.uint64)) if len(values) else np.zeros(0, np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(above.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + low.to_bytes(8, "little", signed=True) + above.astype(f"<u{width}").tobytes()
+
+
+def unpacked_ints(blob: bytes, n: int, lists: int = 1) -> list[np.ndarray]:
+    """The ``lists`` lists of ``n`` numbers each that :func:`packed_ints` made bytes of, one after another."""
+    out, at = [], 0
+    for _ in range(lists):
+        width, low = blob[at], int.from_bytes(blob[at + 1 : at + 9], "little", signed=True)
+        above = np.frombuffer(blob, f"<u{width}", n, at + 9).astype(np.uint64)
+        out.append((above + np.array(low, np.int64).view(np.uint64)).view(np.int64))
+        at += 9 + n * width
+    return out

@@ -1,14 +1,15 @@
-"""Removal of passages that an earlier document already has, by relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document has already, by relative Lempel-Ziv parsing.
 
-The reference of a document is every document with a smaller id. It is indexed in blocks: each block holds,
-for its share of all hashes of ``n``-word phrases, the smallest id of a document in which the phrase starts.
-A document is parsed greedily against all blocks: a factor starts at the first phrase that the reference has
-and runs on as long as the phrase at the next word is there too. A factor so has ``n`` words at least.
-Phrases that begin in the last words of a factor and reach across its border are checked as well, and begin
-a factor of their own that overlaps; the union of the factors is the duplicate part.
+The reference of a document is every document with a smaller id. It is indexed in blocks by hash: a block holds,
+for its share of all ``n``-word phrases, where each phrase starts first: the smallest id and the first word there.
+A document is parsed greedily against the index: a factor begins at the first phrase that the reference has, copies
+from that place, and is extended word by word as long as the phrase one word on has its place one word on in the same
+source. So a factor is (source, place, length), of ``n`` words at least. At its border the phrases that begin in its
+last ``n - 1`` words and reach across are looked up as well; the first that the reference has begins a factor of its
+own, which overlaps. So the union of the factors is what the phrases of the reference cover.
 
 The index is reached in two exchanges of hash lists (see :mod:`.blocks`). The first carries fingerprints and
-finds phrases that more than one chunk has; the second carries full hashes and ids of those alone.
+finds phrases that more than one chunk has; the second carries full hashes and places of those alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, middle
+from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, middle, packed_ints, unpacked_ints
 from .common import small_batches, text_bytes
 from .words import hashed, parts, spread, windows
 
@@ -49,25 +50,34 @@ def phrases(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(hs), np.concatenate(owner), np.concatenate(first)
 
 
-def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different hashes in order, the smallest id of each, and whether more than one id has it."""
-    order = np.lexsort((docs, hashes))
+def _least(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes in order, the smallest id of each and its first place there, and whether more than one id has it."""
+    order = np.lexsort((places, docs, hashes))
     h, d = hashes[order], docs[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     last = np.r_[starts[1:], len(h)] - 1
-    return h[starts], d[starts], d[last] != d[starts]
+    return h[starts], d[starts], places[order][starts], d[last] != d[starts]
 
 
-def factors(flags: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Factors of one document (first word, words), from which phrases the reference has."""
-    edges = np.diff(np.r_[0, flags.astype(np.int8), 0])
-    return [(int(a), int(b - a + n - 1)) for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))]
+def factors(source: np.ndarray, place: np.ndarray, there: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """Greedy parse of one document: (first word, words, source, place in it) of each factor.
+
+    ``there`` says which phrases the reference has, ``source`` and ``place`` where. The next factor begins behind the
+    last, or before that at the first phrase across its border that the reference has.
+    """
+    at = np.flatnonzero(there)
+    if not len(at):
+        return []
+    goes_on = (at[1:] == at[:-1] + 1) & (source[at[1:]] == source[at[:-1]]) & (place[at[1:]] == place[at[:-1]] + 1)
+    begin = np.flatnonzero(np.r_[True, ~goes_on])
+    size = np.diff(np.r_[begin, len(at)]) + n - 1
+    return list(zip(at[begin].tolist(), size.tolist(), source[at[begin]].tolist(), place[at[begin]].tolist()))
 
 
-def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(found: list[tuple]) -> list[tuple[int, int]]:
     """Union of overlapping or touching factors, as spans."""
     out: list[list[int]] = []
-    for a, n in found:
+    for a, n, *_ in found:
         if out and a <= out[-1][0] + out[-1][1]:
             out[-1][1] = max(out[-1][1], a + n - out[-1][0])
         else:
@@ -95,10 +105,12 @@ def _remainder(text: bytes, words: list[bytes], spans: list[tuple[int, int]]) ->
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 13, with_text: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, spans, kept_sha256[, text]`` and the columns of ``keep``.
+    """One row per document: ``doc_id, n_words, n_removed, factors, kept_sha256[, text]`` and the columns of ``keep``.
 
     Words covered by a window of ``n`` words that also starts in a document with a smaller id are removed;
-    windows are those of the input. ``kept_sha256`` is of the kept words joined by one space; ``text`` keeps
+    windows are those of the input. ``factors`` holds ``start, length, source, source_start`` in words, ``source``
+    being the smallest id that has the factor's first window. ``kept_sha256`` is of the kept words joined by one
+    space; ``text`` keeps
     the white space between kept words. A null text has no words and stays null; a null id is in nobody's
     reference, and its document is left whole; rows repeated with the same id are no reference for each
     other; an empty table gives an empty one.
@@ -135,9 +147,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not table.num_rows:
             return block_rows([])
         texts, ids, known = _texts(table)
-        hashes, owner, _ = phrases(texts, n)
+        hashes, owner, first = phrases(texts, n)
         ok = known[owner]
-        h, least, several = _least(hashes[ok], ids[owner[ok]])
+        h, least, place, several = _least(hashes[ok], ids[owner[ok]], first[ok])
         flags = dict(zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()))
         chunk, out = table.column("chunk")[0].as_py(), []
         for b, s in by_bucket(h, bits):
@@ -146,46 +158,55 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 prints, where = np.unique(middle(h[s], bits), return_inverse=True)
                 keep |= np.unpackbits(np.frombuffer(flags[b], np.uint8), count=len(prints)).astype(bool)[where]
             if keep.any():
-                out.append((chunk, b, h[s][keep].astype("<u8").tobytes(), least[s][keep].astype("<i8").tobytes()))
+                out.append((chunk, b, h[s][keep].astype("<u8").tobytes(), packed_ints(least[s][keep]) + packed_ints(place[s][keep])))
         return block_rows(out)
 
     def earlier(table: pa.Table) -> pa.Table:
+        """For each chunk the phrases that an earlier document of another chunk has, with their first place."""
         chunks, blobs = table.column("chunk").to_pylist(), table.column("a").to_pylist()
         h, came = joined(blobs, "<u8")
-        docs_of, _ = joined(table.column("b").to_pylist(), "<i8")
-        _, where = np.unique(h, return_inverse=True)
-        least = np.full(int(where.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, where, docs_of)
-        later, out = least[where] < docs_of, []
+        docs_of, places = (np.concatenate(x) for x in zip(*(unpacked_ints(b, len(x) // 8, 2) for x, b in zip(blobs, table.column("b").to_pylist()))))
+        order = np.lexsort((places, docs_of, h))
+        group = np.cumsum(np.r_[False, h[order][1:] != h[order][:-1]])
+        first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
+        best = np.empty(len(h), np.int64)
+        best[order] = first[group]
+        later, out = docs_of[best] < docs_of, []
         bounds = np.searchsorted(came, np.arange(len(chunks) + 1))
         for k, c in enumerate(chunks):
-            got = h[bounds[k] : bounds[k + 1]][later[bounds[k] : bounds[k + 1]]]
-            if len(got):
-                out.append((c, table.column("bucket")[0].as_py(), got.tobytes(), _EMPTY))
+            hit = np.flatnonzero(later[bounds[k] : bounds[k + 1]]) + bounds[k]
+            if len(hit):
+                out.append((c, table.column("bucket")[0].as_py(), h[hit].tobytes(), packed_ints(docs_of[best[hit]]) + packed_ints(places[best[hit]])))
         return block_rows(out)
 
     types, names = dict(narrow.dtypes), list(carried)
-    kinds = "".join(f"{k} {types[k]}, " for k in carried) + "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_sha256 string" + (", text string" if with_text else "")
+    kinds = "".join(f"{k} {types[k]}, " for k in carried) + "doc_id long, n_words long, n_removed long, factors array<struct<start: int, length: int, source: long, source_start: int>>, kept_sha256 string" + (", text string" if with_text else "")
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts, ids, known = _texts(table)
         hashes, owner, first = phrases(texts, n)
-        seen = np.unique(joined(answers.column("a").to_pylist(), "<u8")[0])
-        flags = np.zeros(len(hashes), bool)
-        ok = known[owner]
-        if ok.any():
-            h, least, _ = _least(hashes[ok], ids[owner[ok]])
-            place = np.searchsorted(h, hashes[ok])
-            flags[ok] = least[place] < ids[owner[ok]]
-            if len(seen):
-                at = np.minimum(np.searchsorted(seen, hashes[ok]), len(seen) - 1)
-                flags[ok] |= seen[at] == hashes[ok]
+        source, place, flags = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        ok = np.flatnonzero(known[owner])
+        if len(ok):
+            h, least, least_place, _ = _least(hashes[ok], ids[owner[ok]], first[ok])
+            at = np.searchsorted(h, hashes[ok])
+            source[ok], place[ok] = least[at], least_place[at]
+            flags[ok] = least[at] < ids[owner[ok]]
+            blobs = answers.column("a").to_pylist()
+            if blobs:
+                seen, _ = joined(blobs, "<u8")
+                seen_source, seen_place = (np.concatenate(x) for x in zip(*(unpacked_ints(b, len(x) // 8, 2) for x, b in zip(blobs, answers.column("b").to_pylist()))))
+                order = np.argsort(seen)
+                at = order[np.minimum(np.searchsorted(seen, hashes[ok], sorter=order), len(seen) - 1)]
+                hit = seen[at] == hashes[ok]
+                source[ok[hit]], place[ok[hit]], flags[ok[hit]] = seen_source[at[hit]], seen_place[at[hit]], True
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-        n_words, n_removed, spans, digests, kept = [], [], [], [], []
+        n_words, n_removed, parsed, digests, kept = [], [], [], [], []
         for i, text in enumerate(texts):
             words = text.split()
-            own = flags[bounds[i] : bounds[i + 1]]
-            found = merged(factors(own, n)) if own.any() else []
+            own = slice(bounds[i], bounds[i + 1])
+            copies = factors(source[own], place[own], flags[own], n)
+            found = merged(copies)
             left = words
             if found:
                 gone = np.zeros(len(words), bool)
@@ -194,16 +215,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 left = [w for w, g in zip(words, gone.tolist()) if not g]
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
-            spans.append([{"start": a, "length": k} for a, k in found])
+            parsed.append([{"start": a, "length": k, "source": d, "source_start": p} for a, k, d, p in copies])
             digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
             if with_text:
                 kept.append(_remainder(text, words, found) if found else text)
-        columns = [table.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(digests, pa.string())]
+        columns = [table.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(parsed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))), pa.array(digests, pa.string())]
         if with_text:
             null = table.column("text").is_null().to_pylist()
             columns.append(pa.array([None if x else k for x, k in zip(null, kept)], pa.binary()).cast(pa.string()))
         columns = [*(table.column(k) for k in names), *columns]
-        return pa.table(columns, [*names, "doc_id", "n_words", "n_removed", "spans", "kept_sha256", *(["text"] if with_text else [])])
+        return pa.table(columns, [*names, "doc_id", "n_words", "n_removed", "factors", "kept_sha256", *(["text"] if with_text else [])])
 
     chunked = dealt.groupBy("chunk")
     many = chunked.applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(shared, ROWS)
