@@ -371,6 +371,23 @@ def test_jaccard_join(docs, texts, empty, n, percent):
         assert jaccard_join.join(empty, n=n, percent=percent).count() == 0
 
 
+def test_jaccard_join_in_small_tiles(spark, monkeypatch):
+    """Keys that many nodes of different components have: each pair is found once, in one of the tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    rng = random.Random(12)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(60)]
+    rows = []
+    for k in range(40):  # a chain of texts that differ more and more, around one passage
+        w = list(base)
+        for j in range(k % 13):
+            w[j] = "x%d" % rng.randrange(10**6)
+        rows.append((k, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in rows}
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=70))
+    assert {i: r["component_id"] for i, r in got.items()} == components(sets, 70)
+
+
 def test_count_tree_loses_nothing_and_prunes():
     rng = np.random.default_rng(1)
     sets = []

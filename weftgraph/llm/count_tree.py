@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 LEAST_CELLS = 64
-LEAF = 32
+LEAF, FAN = 32, 8
 
 
 def cells_for(size: int) -> int:
@@ -63,27 +63,33 @@ def pair_bound(v: bytes, n: int, w: bytes, m: int) -> int:
 
 
 class CountTree:
-    """Bulk-loaded: points sorted by size and counts, ``LEAF`` to a leaf, leaves under one level of boxes."""
+    """Bulk-loaded R-tree: points sorted by size and counts, ``LEAF`` to a leaf, and ``FAN`` boxes to a box of the level
+    above, up to one root. A box holds the upper corner of its points and the range of their sizes."""
 
     def __init__(self, at: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((*at[:, :4].T, sizes))
         self.at, self.sizes = at[self.order], sizes[self.order]
-        starts = np.arange(0, len(at), LEAF)
-        self.starts = np.r_[starts, len(at)]
-        self.upper = np.maximum.reduceat(self.at, starts, axis=0)
-        self.least, self.most = np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        upper, least, most, fan = self.at, self.sizes, self.sizes, LEAF
+        while len(upper) > 1 or not self.levels:
+            starts = np.arange(0, len(upper), fan)
+            self.levels.append((np.r_[starts, len(upper)], np.maximum.reduceat(upper, starts, axis=0), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
+            _, upper, least, most = self.levels[-1]
+            fan = FAN
 
     def search(self, at: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Points that may overlap enough with ``at``, as places in the input, and their bounds."""
-        ok = np.flatnonzero((100 * self.most >= percent * size) & (100 * size >= percent * self.least))
-        ok = ok[np.minimum(self.upper[ok], at).sum(1) >= needed(size, self.least[ok], percent)]
-        if not len(ok):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rows = np.concatenate([np.arange(self.starts[k], self.starts[k + 1]) for k in ok])
-        rows = rows[near_in_size(size, self.sizes[rows], percent)]
-        bound = np.minimum(self.at[rows], at).sum(1)
-        hit = bound >= needed(size, self.sizes[rows], percent)
-        return self.order[rows[hit]], bound[hit]
+        live = np.zeros(1, np.int64)
+        for starts, upper, least, most in reversed(self.levels):
+            live = live[(100 * most[live] >= percent * size) & (100 * size >= percent * least[live])]
+            live = live[np.minimum(upper[live], at).sum(1) >= needed(size, least[live], percent)]
+            if not len(live):
+                return live, live
+            live = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in live])
+        live = live[near_in_size(size, self.sizes[live], percent)]
+        bound = np.minimum(self.at[live], at).sum(1)
+        hit = bound >= needed(size, self.sizes[live], percent)
+        return self.order[live[hit]], bound[hit]
 
 
 class CountForest:

@@ -8,15 +8,14 @@
    Keys that many nodes have are split by salt. The first pass proposes for each node one partner: the most
    typical node that may reach the threshold. Proposals are verified on the sets, links give components.
 3. The second pass goes over keys at which different components still meet, all of their nodes against each
-   other in tiles, and proposes every pair of different components that the bounds allow: after the trees' one
-   that of a count vector so fine that it is nearly the overlap itself. So no link between
-   different components is missed, and a group of near copies is never expanded into all its pairs.
+   other in small tiles, and proposes every pair of different components that the bounds allow: after the trees' one
+   that of a count vector so fine that it is nearly the overlap itself. A pair is looked at where its least common
+   key is, and nowhere else. So no link between different components is missed, and a group of near copies is never
+   expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +28,10 @@ from .common import small_batches, text_bytes
 from .count_tree import CountForest, count_vector, near_in_size, needed, pair_bound
 from .words import hashed, parts, windows
 
-#: Nodes at a key that are looked at together.
-TILE = 4096
+#: Nodes at a key that choose their partners together.
+GROUP = 4096
+#: Nodes at a key in a tile of the second pass; a task holds two tiles.
+TILE = 512
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +162,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
                 prefix = np.lexsort((own, df))[: size - (-(-percent * size // 100)) + 1] if size else np.zeros(0, np.int64)
                 prefix = prefix[df[prefix] > 1]
                 if len(prefix):
-                    splits = -(-df[prefix] // TILE)
+                    splits = -(-df[prefix] // GROUP)
                     rows.append((tid, size, own[prefix].view(np.int64).tolist(), splits.tolist(), count_vector(own), float(np.log2(df).mean()), own.astype("<u8").tobytes(), np.sort(own.astype("<u2")).tobytes()))
                 else:
                     rows.append((tid, size, *[None] * 6))
@@ -172,8 +173,6 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     chunked = dealt.groupBy("chunk")
     answers = chunked.cogroup(chosen.groupBy("chunk")).applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(answer, ROWS)
     nodes = written(chunked.cogroup(answers.unionByName(chosen).groupBy("chunk")).applyInArrow(describe, NODE), "jaccard-nodes")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that the written table replaces
 
     keyed = nodes.where("keys is not null").select("tid", "n", "vector", "typical", F.explode(F.arrays_zip("keys", "splits")).alias("k"))
     keyed = keyed.select("tid", "n", "vector", "typical", F.col("k.keys").alias("key"), F.col("k.splits").alias("splits"))
@@ -234,16 +233,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     groups = connected_components(links, "a", "b")
 
     placed = salted.join(groups.select(F.col("id").alias("tid"), "component"), "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "lo")
-    tiled = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    tiled = tiled.select("tid", "n", "vector", "component", "key", "lo", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
-    tiled = tiled.join(nodes.select("tid", "fine"), "tid")
-    # keys that meet in the same component go to a few tasks, where a pair with many common keys is found once
-    task = F.pmod(F.xxhash64("lo", F.pmod("key", F.lit(4)), "low", "high"), F.lit(layout.chunks)).cast("int")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")).where("lo <> hi").select("key", "parts")
+    tiled = placed.drop("salt").join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("tid", "key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.select("tid", "n", "vector", "component", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    tiled = tiled.join(nodes.select("tid", "fine", "keys"), "tid")
+    task = F.pmod(F.xxhash64("key", "low", "high"), F.lit(layout.chunks)).cast("int")
 
     def bridges(table: pa.Table) -> pa.Table:
-        keys, lows, highs, sizes = (table.column(c).to_numpy() for c in ("key", "low", "high", "n"))
+        keys, lows, highs, part, sizes = (table.column(c).to_numpy() for c in ("key", "low", "high", "part", "n"))
         tids, vectors, fine = (table.column(c).to_pylist() for c in ("tid", "vector", "fine"))
+        prefixes = [frozenset(x) for x in table.column("keys").to_pylist()]
         known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         dense = np.zeros(FINE, np.int32)
 
@@ -266,10 +265,14 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
             dense[cells] = 0
             return left
 
+        def is_here(i: int, j: int) -> bool:
+            """Whether this is the place for a pair: its least common key, in the tile of the two nodes' parts."""
+            return (part[i] != part[j]) == (lows[i] != highs[i]) and min(prefixes[i] & prefixes[j]) == keys[i]
+
         component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
         rank = np.argsort(np.argsort(np.array(tids, object), kind="stable"))
         order, bounds = _groups([keys, lows, highs])
-        pairs: dict[tuple[int, int], tuple[int, int, float]] = {}
+        pairs: list[tuple[int, int, float]] = []
         widths = np.diff(bounds)
         two = bounds[:-1][widths == 2]
         if len(two):
@@ -279,9 +282,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
             bound = np.array([pair_bound(vectors[i], sizes[i], vectors[j], sizes[j]) for i, j in zip(a, b)], np.int64)
             hit = bound >= needed(sizes[a], sizes[b], percent)
             for x, y in zip(a[hit].tolist(), b[hit].tolist()):
-                if may_link(x, [y]):
-                    x, y = (x, y) if rank[x] < rank[y] else (y, x)
-                    pairs[int(rank[x]), int(rank[y])] = (x, y, 0.0)
+                if is_here(x, y) and may_link(x, [y]):
+                    pairs.append((x, y, 0.0) if rank[x] < rank[y] else (y, x, 0.0))
         for g in np.flatnonzero(widths > 2):
             rows = order[bounds[g] : bounds[g + 1]]
             own = component[rows]
@@ -294,12 +296,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
                 largest = kinds[size_of.argmax()]
                 # of two nodes outside the largest component the first looks for the second
                 todo = near[(own[near] != own[i]) & ((near > i) | (own[near] == largest))]
-                for y in may_link(int(rows[i]), rows[todo].tolist()):
-                    x, y = (int(rows[i]), y) if rank[rows[i]] < rank[y] else (y, int(rows[i]))
-                    pairs[int(rank[x]), int(rank[y])] = (x, y, 0.0)
-        return _proposals(tids, list(pairs.values()))
+                x = int(rows[i])
+                for y in may_link(x, [y for y in rows[todo].tolist() if is_here(x, y)]):
+                    pairs.append((x, y, 0.0) if rank[x] < rank[y] else (y, x, 0.0))
+        return _proposals(tids, pairs)
 
-    more = tiled.withColumn("task", task).groupBy("task").applyInArrow(bridges, PAIR).select("a", "b").distinct()
+    more = tiled.withColumn("task", task).groupBy("task").applyInArrow(bridges, PAIR).select("a", "b")
     links = cut(links.unionByName(verified(more)))
     groups = connected_components(links, "a", "b")
 
