@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     (or itself) that comes first in an order drawn for the round, then that one's choice, and edges inside a joined
     group go. The order is by hash, so groups stay shallow and the graph shrinks by a constant factor however ids are
     laid out; what is settled is never read again. At the end the choices are followed back from the last round to
-    the first. Ids may be of any type with an order.
+    the first. Ids may be of any type with an order. Joins are by merging: rounds are many, and the driver would
+    hold a table for each that is broadcast.
     """
     one = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     rest = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -26,11 +27,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         order = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("id"))
         first = rest.groupBy("u").agg(F.min(order("v")).alias("near")).select(F.col("u").alias("id"), F.least(order("u"), "near")["id"].alias("to"))
         first = cut(first)
-        jump = first.join(first.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+        jump = first.join(first.select(F.col("id").alias("to"), F.col("to").alias("far")).hint("merge"), "to").select("id", F.col("far").alias("to"))
         joined = cut(jump)
         chosen.append(joined)
         a, b = joined.select(F.col("id").alias("u"), F.col("to").alias("a")), joined.select(F.col("id").alias("v"), F.col("to").alias("b"))
-        rest = cut(rest.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        rest = cut(rest.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not chosen:
@@ -38,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     place = chosen[-1]
     for step in reversed(chosen[:-1]):
         later = place.select(F.col("id").alias("to"), F.col("to").alias("end"))
-        place = step.join(later, "to", "left").select("id", F.coalesce("end", "to").alias("to"))
+        place = step.join(later.hint("merge"), "to", "left").select("id", F.coalesce("end", "to").alias("to"))
     place = cut(place)
     least = place.groupBy("to").agg(F.min("id").alias("component"))
-    return place.join(least, "to").select("id", "component")
+    return place.join(least.hint("merge"), "to").select("id", "component")
