@@ -40,9 +40,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once and kept in the shared folder; later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` evaluated once and kept in the shared folder; later reads survive lost executors.
+
+    A checkpoint would hand down all conditions that Spark infers for its rows. In a loop of joins these multiply
+    from round to round until planning ends in memory, so no conditions are inferred while it is made.
+    """
+    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
