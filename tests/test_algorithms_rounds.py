@@ -78,8 +78,12 @@ def test_paths_leave_and_come_back(spark):
 
 def test_components_of_long_paths_and_other_types(spark):
     rows = [("n%03d" % k, "n%03d" % (k + 1)) for k in range(100) if k % 50 != 49]
-    out = connected_components(spark.createDataFrame(rows, "src string, dst string")).collect()
-    assert {r["id"]: r["component"] for r in out} == {"n%03d" % k: "n%03d" % (k // 50 * 50) for k in range(100)}
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    for bound in (0, 1000):
+        out = connected_components(edges, task_edges=bound).collect()
+        assert {r["id"]: r["component"] for r in out} == {"n%03d" % k: "n%03d" % (k // 50 * 50) for k in range(100)}
+    binary = edges.select(*[edges[c].cast("binary").alias(c) for c in edges.columns])
+    assert {bytes(r["component"]) for r in connected_components(binary).collect()} == {b"n000", b"n050"}
     assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "src long, dst long")).count() == 0
 
 

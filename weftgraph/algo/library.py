@@ -97,7 +97,7 @@ class Algorithms:
     def connected_components(self) -> DataFrame:
         if self.small:
             return self.in_one_task(local.components, "id long, component long")
-        found = connected_components(self.arcs)
+        found = connected_components(self.arcs, task_edges=0)
         return self.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
     def connected_component_count(self) -> int:
