@@ -66,3 +66,41 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
     assert sorted((i, t) for i, t, _ in got if i is not None) == sorted([(1, a), (2, e), (3, f), (4, g), (5, h), (6, "")])
     assert [t for i, t, _ in got if i is None].count(None) == 2
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_take_odd_rows(spark, folder):
+    """Null and repeated ids, null columns, an empty and a very long text, equal rows, clashing names, an empty table."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    a, b, c, d, few, long = make(90), make(90), make(90), make(90), make(3), make(60_000)
+    rows = [(1, a, "en", "h"), (1, b, "en", "h"), (None, c, "en", None), (None, d, None, None), (2, long, "en", "h"), (3, None, None, None), (4, "", "en", "h"), (5, few, "en", "h")]
+    rows += [(6, make(90), "en", "h")] * 2
+    rows = [(*r, len(r[1] or ""), 1, "x", 0.5, True, None) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, chunk int, th string, score double, kept boolean, `the id` string"
+    docs = spark.createDataFrame(rows, schema)
+    key = lambda r: (r["doc_id"], r["text"])
+    at, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), folder)
+        assert none.count() == 0 and none.dtypes == docs.dtypes
+        out = stage(spark, at, folder)
+        assert out.dtypes == docs.dtypes
+        got = out.collect()
+        assert {(r["chunk"], r["th"], r["score"], r["kept"]) for r in got} == {(1, "x", 0.5, True)}
+        kept[name], at = sorted(map(key, got), key=str), spark.createDataFrame(got, docs.schema)
+    clean = [key(r) for r in docs.collect() if r["text"] and len(r["text"]) > 50]
+    assert [k for k in kept["language_id"] if k != (5, few)] == sorted(clean, key=str)
+    assert kept["quality_rules"] == sorted(clean, key=str)
+    assert kept["near_duplicates"] == kept["repeated_passages"] == sorted(set(clean), key=str)
+    assert corpus_pipeline.repeated_passages(spark, docs, folder).count() == len(rows)
+    packed = corpus_pipeline.packed(spark, docs, folder)
+    assert sum(r["length"] for r in packed.where("doc_id = 3").collect()) == 1
+    assert corpus_pipeline.packed(spark, docs.limit(0), folder).count() == 0
+
+
+def test_limit_of_likeness_falls_for_short_texts(spark):
+    rows = [("a" * 300, 0.39, False), ("a" * 300, 0.41, True), ("ab cd 12 3", 0.11, True), ("ab", 0.09, False), ("é" * 50, 0.21, True), ("é" * 50, 0.19, False)]
+    df = spark.createDataFrame(rows, "text string, score double, want boolean")
+    found = df.select("want", corpus_pipeline._like_a_language(df["text"], df["score"]).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in found)
