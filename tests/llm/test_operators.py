@@ -234,6 +234,28 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_in_pieces_and_under_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, size=(900, 6)).astype(float)  # many ties
+    x[~x.any(axis=1)] = 1.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[3].tolist()), (17, x[4].tolist()), (17, x[4].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = neighbours.search(df, F.col("vec_id") % 100 == 0, target=1.0).collect()
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 500)
+    cut = neighbours.search(df, F.col("vec_id") % 100 == 0, target=1.0).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut))
+    many = collections.defaultdict(list)
+    for i, v in rows:
+        many[i].append(np.array(v))
+    hit = 0
+    for q in range(0, 900, 100):
+        near = sorted((min(float(np.sqrt(((a - b) ** 2).sum())) for a in many[q] for b in many[j]), j) for j in many if j != q)[:10]
+        got = [(r["score"], r["vec_id"]) for r in sorted((r for r in cut if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert got == sorted(got) and len(got) == 10
+        hit += len(set(near) & set(got))
+    assert hit >= 81
+
+
 def test_language_id(spark, docs, texts, empty):
     rng = random.Random(2)
     kinds = {"xa": "abcde", "xb": "defgh"}

@@ -16,11 +16,15 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
+#: Vectors, in bytes, that a task should hold.
+GROUP_BYTES = 64_000_000
+
 
 @dataclass
 class Tree:
@@ -145,20 +149,28 @@ def _class_rows(held: dict[bytes, list[int]], k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(set(x))[: k + 1] for x in held.values()], pa.list_(pa.int64()))], ["vector", "ids"])
 
 
-def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 12, leaf_rows: int = 64, sample_rows: int = 16_384, calibration: int = 96, target: float = 0.97, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 12, leaf_rows: int = 64, sample_rows: int = 16_384, most_sample_rows: int = 131_072, calibration: int = 96, target: float = 0.97, seed: int = 11) -> DataFrame:
     """Each query's ``k`` nearest other rows: ``query_id, rank, vec_id, score``.
 
     ``is_query`` is a boolean column. Nearest by Euclidean distance, ties to the smaller id. Vectors that are
     null, empty, zero, or hold a null or non-finite component take no part, nor do those whose length is not
     the commonest in the sample. Rows with equal vectors share one place in the index; a row is never its own
-    neighbour, nor is another row with its id. With ``k`` or fewer candidates all are returned. The forest is
-    fitted to at most ``sample_rows`` rows; every row is indexed.
+    neighbour, nor is another row with its id. An id on several different vectors asks with each of them, and is
+    found at the nearest. With ``k`` or fewer candidates all are returned. An empty table gives an empty one.
+
+    The forest is fitted to one row in 64, at least ``sample_rows`` and at most ``most_sample_rows``; every row is
+    indexed. A leaf of more than ``GROUP_BYTES`` is cut into pieces by a hash, each of which a query asks: every
+    piece gives its ``k`` + 1 nearest, so nothing is lost and no task holds much more than that.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     queries = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     classes = written(_classes(vectors, id_col, vector_col, k), "vector-classes")
-    sample = classes.orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).select("vector", "ids").collect()
+    n_classes = classes.count()
+    wanted = min(most_sample_rows, max(sample_rows, n_classes // 64))
+    # twice the rows wanted by a hash, so that what is sorted is bounded too
+    some = classes.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int(min(1.0, 2 * wanted / max(1, n_classes)) * (1 << 30)))
+    sample = some.orderBy(F.xxhash64("vector"), "vector").limit(wanted).select("vector", "ids").collect()
     if not sample:
         return spark.createDataFrame([], schema)
     lengths = np.array([len(r["vector"]) for r in sample])
@@ -202,14 +214,18 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     mass = max(mass, 4.0 * k)
     sent = spark.sparkContext.broadcast((forest, mass))
     width = max(len(t.mass) for t in forest)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), trees * width // 16)
+    least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = -(-n_classes * size // (width * GROUP_BYTES)) or 1
+    by_bytes = -(-trees * n_classes * size // GROUP_BYTES)
+    tasks = max(least_tasks, trees * width // 16, by_bytes)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 y = _matrix(batch.column(0).to_pylist())
+                piece = np.array([xxhash.xxh3_64_intdigest(v) % pieces for v in batch.column(0).to_pylist()], np.int64) if pieces > 1 else 0
                 for i, t in enumerate(sent.value[0]):
-                    cells = i * width + t.leaf(y)
+                    cells = (i * width + t.leaf(y)) * pieces + piece
                     yield pa.RecordBatch.from_arrays([pa.array(cells % tasks, pa.int32()), pa.array(cells, pa.int64()), batch.column(0), batch.column(1)], ["task", "cell", "vector", "ids"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +237,7 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
                 if not np.isfinite(q).all() or not q.any():
                     continue
                 cells = np.array([a * width + b for a, b in opened(sent.value[0], q, sent.value[1])], np.int64)
+                cells = (cells[:, None] * pieces + np.arange(pieces)).ravel()
                 order = np.argsort(cells % tasks, kind="stable")
                 cells = cells[order]
                 own, starts = np.unique(cells % tasks, return_index=True)
@@ -253,11 +270,17 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
 
     def finish(table: pa.Table) -> pa.Table:
         q = table.column("query_id")[0].as_py()
-        found = {j: d for d, ids in zip(table.column("d").to_pylist(), table.column("ids").to_pylist()) for j in ids if j != q}
+        found: dict[int, float] = {}
+        for d, ids in zip(table.column("d").to_pylist(), table.column("ids").to_pylist()):
+            for j in ids:
+                if j != q and d < found.get(j, np.inf):
+                    found[j] = d
         best = sorted((d, j) for j, d in found.items())[:k]
         return pa.table([pa.array([q] * len(best), pa.int64()), pa.array(range(1, len(best) + 1), pa.int32()), pa.array([j for _, j in best], pa.int64()), pa.array([d for d, _ in best], pa.float64())], ["query_id", "rank", "vec_id", "score"])
 
     routed = usable.mapInArrow(route, "task int, cell long, vector binary, ids array<long>")
     asked = queries.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(ask, "task int, cells array<long>, query_id long, q binary")
+    if by_bytes > least_tasks:
+        routed, asked = routed.repartition(by_bytes, "task"), asked.repartition(by_bytes, "task")
     ranked = routed.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(rank, "query_id long, d double, ids array<long>")
     return ranked.groupBy("query_id").applyInArrow(finish, schema)
