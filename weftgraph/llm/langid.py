@@ -22,7 +22,7 @@ from .common import mix, small_batches
 
 DIM = 512
 GRAM = 3
-PART_CHARS = 2_000_000
+PART_CHARS = 500_000
 
 
 @lru_cache(maxsize=1)

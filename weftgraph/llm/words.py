@@ -15,7 +15,7 @@ import xxhash
 from .common import mix
 
 #: Text whose words are held as Python objects at a time.
-PART_BYTES = 2_000_000
+PART_BYTES = 500_000
 
 
 def parts(texts: list[bytes], size: int = PART_BYTES) -> Iterator[tuple[int, list[bytes]]]:
