@@ -495,5 +495,23 @@ def test_toxicity(spark, docs, empty):
     assert not any(r["toxic"] for r in toxicity.predict(docs, none, ["quality", "toxic"]).collect())
 
 
+def test_toxicity_learns_from_a_bounded_sample_under_a_shared_id(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w%d" % rng.randrange(50) for _ in range(20)) + " vile" * (i % 3 == 0)) for i in range(90)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    shared = [(9000, "one of many texts %d" % k) for k in range(400)]
+    labels = marks.unionByName(spark.createDataFrame([(9000, 0)], marks.schema))
+    models = lambda rows, most: toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, ["toxic"], train_rows=most, least_docs=2, least_z=2.0)
+    one, same = models(rows, 200)[0], models(rows + rows[:30] * 3, 200)[0]
+    assert (one.words == same.words).all() and np.allclose(one.weights, same.weights) and one.limit == same.limit  # copies teach once
+    seen = []
+    fit = toxicity.fit_chain
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit_chain", lambda hashes, owner, labels, *a, **k: seen.append(len(labels)) or fit(hashes, owner, labels, *a, **k))
+        models(rows + shared, 1000)
+        models(rows + shared, 100)
+    assert seen == [490, 100]
+
+
 def test_best_limit_lies_in_the_gap():
     assert toxicity.best_limit(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0]), 0.1) == pytest.approx(0.55)

@@ -128,8 +128,9 @@ def fit_chain(hashes: np.ndarray, owner: np.ndarray, labels: np.ndarray, known:
 def learn(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, least_docs: int = 5, least_z: float = 5.0) -> list[Model]:
     """Fit the chain to at most ``train_rows`` labelled documents: those with the smallest hash of their id.
 
-    Equal texts with equal labels teach once. Rows without a label in a category teach nothing in it. Texts
-    become word hashes on the executors; the driver fits, holding the sample's hashes and nothing that grows.
+    Texts with equal words and equal labels teach once, under their smallest id. Rows without a label in a category
+    teach nothing in it. Texts become word hashes on the executors, where equal ones are merged before they meet; the
+    driver fits, holding the hashes of at most ``train_rows`` texts even where many rows share an id.
     """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]).where(" or ".join(f"y{k} is not null" for k in range(len(categories))))
@@ -144,11 +145,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(own, pa.binary())], [*batch.schema.names[:-1], "words"])
 
     kinds = "doc_id long, " + ", ".join(f"y{k} double" for k in range(len(categories)))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *[f"y{k}" for k in range(len(categories))], "text").mapInArrow(hash_words, f"{kinds}, words binary").collect()
-    once: dict[tuple, tuple] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        once.setdefault((bytes(r["words"]), *r[1:-1]), r)
-    rows = list(once.values())
+    marked = [f"y{k}" for k in range(len(categories))]
+    hashed = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *marked, "text").mapInArrow(hash_words, f"{kinds}, words binary")
+    once = hashed.groupBy(*marked, "words").agg(F.min("doc_id").alias("doc_id")).select("doc_id", *marked, "words")
+    rows = sorted(once.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("words")).limit(train_rows).collect(), key=lambda r: (r["doc_id"], bytes(r["words"])))
     if not rows:
         return [Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), -30.0, 0.5) for k in range(len(categories))]
     sets = [np.frombuffer(r["words"], "<u8") for r in rows]
