@@ -150,3 +150,20 @@ def test_adapters(spark):
     assert o.minimum_spanning_tree("weight")["total_weight"] == 3.0 and o.topological_sort() is not None
     assert o.all_pairs_shortest_paths("weight")[0, 2] == 3.0 and o.graph_stats()["edge_count"] == 3
     assert o.max_flow(0, 2, "weight")["max_flow"] == 6.0 and o.bridges() == [] and o.articulation_points() == []
+
+
+def test_triangles_of_colours_chunks_and_hubs(spark, monkeypatch):
+    from weftgraph.algo import packed
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(40) * 10**12 - 5, rng.randrange(40) * 10**12 - 5) for _ in range(250)] + [(7, k) for k in range(100, 150)] + [(k + 1, k) for k in range(100, 150)]
+    pairs = {frozenset(r) for r in rows if r[0] != r[1]}
+    near = {v: {w for p in pairs if v in p for w in p} - {v} for v in set().union(*pairs)}
+    want = sorted((a, b, c) for a in near for b in near[a] for c in near[a] & near[b] if a < b < c)
+    for name, value in {"SMALL_EDGES": 10, "CHUNK_EDGES": 100, "WEDGES": 7, "TASK_EDGES": 200}.items():
+        monkeypatch.setattr(packed, name, value)
+    a = Algorithms(edges=spark.createDataFrame(rows, "src long, dst long"))
+    assert sorted(map(tuple, a.triangles().collect())) == want and len(packed.hubs(packed.pairs(a.edges), len(pairs))[0]) > 0
+    plan = a.triangles()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan, "pairs of arcs are rows of an exchange"
+    assert Algorithms(edges=spark.createDataFrame([(1, 1)], "src long, dst long")).triangles().count() == 0
