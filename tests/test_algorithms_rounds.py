@@ -167,3 +167,49 @@ def test_triangles_of_colours_chunks_and_hubs(spark, monkeypatch):
     plan = a.triangles()._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan, "pairs of arcs are rows of an exchange"
     assert Algorithms(edges=spark.createDataFrame([(1, 1)], "src long, dst long")).triangles().count() == 0
+
+
+def test_thinned_blocks_against_depth_first_search(spark, monkeypatch):
+    from weftgraph.algo import packed
+
+    monkeypatch.setattr(packed, "ROW_EDGES", 9)
+    rng = random.Random(11)
+    for n, m in ((30, 28), (30, 40), (12, 40), (60, 75)):
+        rows = [(rng.randrange(n) * 7 - 9, rng.randrange(n) * 7 - 9) for _ in range(m)]
+        a = Algorithms(edges=spark.createDataFrame(rows, "src long, dst long").repartition(3))
+        points, bridges = sequential.cut_parts(a.local_nodes(), rows)
+        assert (a.articulation_points(), a.bridges()) == (sorted(points), sorted(bridges))
+
+
+def test_more_edges_than_a_process_may_hold(spark, monkeypatch):
+    """The bound on edges turns nothing away where nodes are few: a wheel has more edges than the bound allows."""
+    rows = [(0, k) for k in range(1, 9)] + [(k, k % 8 + 1) for k in range(1, 9)] + [(20, 0), (20, 21)]
+    monkeypatch.setattr(library, "LOCAL_EDGES", 12)
+    a = Algorithms(edges=spark.createDataFrame(rows, "src long, dst long"))
+    assert a.articulation_points() == [0, 20] and a.bridges() == [(0, 20), (20, 21)]
+
+
+def test_shards_agree(both, monkeypatch):
+    from weftgraph.algo import sharded
+
+    rows, a = both
+    monkeypatch.setattr(sharded, "SHARD_EDGES", 5)
+    one, whole = a.topological_layers()
+    many, same = sharded.layers(a.nodes, a.arcs)
+    assert table(one, "id", "layer") == table(many, "id", "layer") and whole == same
+    assert table(a.kcore(), "id", "core") == table(sharded.cores(a.nodes, a.arcs), "id", "core") == table(iterative.core_numbers(a.nodes, a.arcs), "id", "core")
+    far = Algorithms(nodes=a.nodes, edges=a.edges)
+    far.small = far.sharded = False
+    assert table(far.topological_layers()[0], "id", "layer") == table(one, "id", "layer")
+
+
+def test_louvain_above_the_bound(spark, monkeypatch):
+    from weftgraph.algo import sharded
+
+    cliques = [(10 * c + i, 10 * c + j) for c in range(5) for i, j in itertools.combinations(range(6), 2)]
+    rows = cliques + [(10 * c, 10 * c + 10) for c in range(4)] + [(3, 3), (50, 50)]
+    monkeypatch.setattr(library, "LOCAL_EDGES", 10)
+    for most in (500, 0):
+        monkeypatch.setattr(sharded, "DRIVER_EDGES", most)
+        labels, score = Algorithms(nodes=spark.createDataFrame([(v,) for v in sorted({x for r in rows for x in r} | {99})], "id long"), edges=spark.createDataFrame(rows, "src long, dst long")).louvain()
+        assert table(labels, "id", "label") == {**{10 * c + i: 10 * c for c in range(5) for i in range(6)}, 50: 50, 99: 99} and score > 0.6
