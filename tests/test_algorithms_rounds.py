@@ -213,3 +213,12 @@ def test_louvain_above_the_bound(spark, monkeypatch):
         monkeypatch.setattr(sharded, "DRIVER_EDGES", most)
         labels, score = Algorithms(nodes=spark.createDataFrame([(v,) for v in sorted({x for r in rows for x in r} | {99})], "id long"), edges=spark.createDataFrame(rows, "src long, dst long")).louvain()
         assert table(labels, "id", "label") == {**{10 * c + i: 10 * c for c in range(5) for i in range(6)}, 50: 50, 99: 99} and score > 0.6
+
+
+def test_closeness_by_sources(both, monkeypatch):
+    rows, a = both
+    want = iterative.closeness(a.nodes, a.arcs, True)
+    monkeypatch.setattr(iterative, "closeness", None)  # a row for each pair of nodes
+    far = Algorithms(nodes=a.nodes, edges=a.edges)
+    far.small = False
+    assert near(table(far.closeness_centrality(True), "id", "score"), table(want, "id", "score"))
