@@ -515,3 +515,14 @@ def test_toxicity_learns_from_a_bounded_sample_under_a_shared_id(spark):
 
 def test_best_limit_lies_in_the_gap():
     assert toxicity.best_limit(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0]), 0.1) == pytest.approx(0.55)
+
+
+def test_passages_of_chunks_without_phrases(spark):
+    import numpy as np
+
+    from weftgraph.llm import substring_dedup
+
+    short = spark.createDataFrame([(k, "few words " * (k % 3)) for k in range(6)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(short).collect()} == {0}
+    h, d, p = np.array([5, 3, 5, 5, 3], np.uint64), np.array([2, 9, 1, 1, 9]), np.array([0, 4, 8, 6, 2])
+    assert [x.tolist() for x in substring_dedup._least(h, d, p)] == [[3, 5], [9, 1], [2, 6], [False, True], [1, 0, 1, 1, 0]]

@@ -50,13 +50,28 @@ def phrases(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(hs), np.concatenate(owner), np.concatenate(first)
 
 
-def _least(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different hashes in order, the smallest id of each and its first place there, and whether more than one id has it."""
-    order = np.lexsort((places, docs, hashes))
+def _in_order(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places in the order of hash, id and place; most hashes are there once, so only equal ones are sorted further."""
+    order = np.argsort(hashes)
+    h = hashes[order]
+    same = h[1:] == h[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    sub = order[tied]
+    order[tied] = sub[np.lexsort((places[sub], docs[sub], hashes[sub]))]
+    return order
+
+
+def _least(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes in order, the smallest id of each and its first place there, whether more than one id has it,
+    and which of them each hash is."""
+    order = _in_order(hashes, docs, places)
     h, d = hashes[order], docs[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    last = np.r_[starts[1:], len(h)] - 1
-    return h[starts], d[starts], places[order][starts], d[last] != d[starts]
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    last = np.r_[starts[1:], len(h)][: len(starts)] - 1
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return h[starts], d[starts], places[order][starts], d[last] != d[starts], which
 
 
 def factors(source: np.ndarray, place: np.ndarray, there: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
@@ -149,7 +164,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         texts, ids, known = _texts(table)
         hashes, owner, first = phrases(texts, n)
         ok = known[owner]
-        h, least, place, several = _least(hashes[ok], ids[owner[ok]], first[ok])
+        h, least, place, several, _ = _least(hashes[ok], ids[owner[ok]], first[ok])
         flags = dict(zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()))
         chunk, out = table.column("chunk")[0].as_py(), []
         for b, s in by_bucket(h, bits):
@@ -166,7 +181,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         chunks, blobs = table.column("chunk").to_pylist(), table.column("a").to_pylist()
         h, came = joined(blobs, "<u8")
         docs_of, places = (np.concatenate(x) for x in zip(*(unpacked_ints(b, len(x) // 8, 2) for x, b in zip(blobs, table.column("b").to_pylist()))))
-        order = np.lexsort((places, docs_of, h))
+        order = _in_order(h, docs_of, places)
         group = np.cumsum(np.r_[False, h[order][1:] != h[order][:-1]])
         first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
         best = np.empty(len(h), np.int64)
@@ -188,17 +203,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         source, place, flags = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         ok = np.flatnonzero(known[owner])
         if len(ok):
-            h, least, least_place, _ = _least(hashes[ok], ids[owner[ok]], first[ok])
-            at = np.searchsorted(h, hashes[ok])
-            source[ok], place[ok] = least[at], least_place[at]
-            flags[ok] = least[at] < ids[owner[ok]]
+            h, least, least_place, _, which = _least(hashes[ok], ids[owner[ok]], first[ok])
+            source[ok], place[ok] = least[which], least_place[which]
+            flags[ok] = least[which] < ids[owner[ok]]
             blobs = answers.column("a").to_pylist()
             if blobs:
                 seen, _ = joined(blobs, "<u8")
                 seen_source, seen_place = (np.concatenate(x) for x in zip(*(unpacked_ints(b, len(x) // 8, 2) for x, b in zip(blobs, answers.column("b").to_pylist()))))
                 order = np.argsort(seen)
-                at = order[np.minimum(np.searchsorted(seen, hashes[ok], sorter=order), len(seen) - 1)]
-                hit = seen[at] == hashes[ok]
+                at = order[np.minimum(np.searchsorted(seen[order], h), len(seen) - 1)]
+                at, hit = at[which], (seen[at] == h)[which]
                 source[ok[hit]], place[ok[hit]], flags[ok[hit]] = seen_source[at[hit]], seen_place[at[hit]], True
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         n_words, n_removed, parsed, digests, kept = [], [], [], [], []
