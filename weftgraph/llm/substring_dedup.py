@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, middle, packed_ints, unpacked_ints
-from .common import small_batches, text_bytes
+from .common import distinct, small_batches, text_bytes
 from .words import hashed, parts, spread, windows
 
 _EMPTY = b""
@@ -141,9 +141,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def ask(table: pa.Table) -> pa.Table:
         texts, _, known = _texts(table)
         hashes, owner, _ = phrases(texts, n)
-        hashes = np.unique(hashes[known[owner]])
+        hashes = distinct(hashes[known[owner]])
         chunk = table.column("chunk")[0].as_py()
-        return block_rows([(chunk, b, np.unique(middle(hashes[s], bits)).tobytes(), _EMPTY) for b, s in by_bucket(hashes, bits)])
+        return block_rows([(chunk, b, distinct(middle(hashes[s], bits)).tobytes(), _EMPTY) for b, s in by_bucket(hashes, bits)])
 
     def shared(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
