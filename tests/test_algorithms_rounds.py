@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from weftgraph.algo import iterative, library, sequential
@@ -222,3 +223,47 @@ def test_closeness_by_sources(both, monkeypatch):
     far = Algorithms(nodes=a.nodes, edges=a.edges)
     far.small = False
     assert near(table(far.closeness_centrality(True), "id", "score"), table(want, "id", "score"))
+
+
+def test_betweenness_goes_over_the_edges_for_many_sources_at_once(monkeypatch):
+    from weftgraph.algo import local
+
+    rng = np.random.default_rng(5)
+    n = 300
+    a, b = rng.integers(0, n, 1500), rng.integers(0, n, 1500)
+    a, b = np.r_[a, n - 1, n - 1, 7], np.r_[b, 3, 3, 7]  # edges that are there twice, a node's edge to itself
+    looked = []
+    monkeypatch.setattr(local, "edges_at", lambda *x, f=local.edges_at: looked.append(1) or f(*x))
+    want = np.zeros(n)
+    for s in range(n):
+        depth, paths, order = {s: 0}, {s: 1.0}, [s]
+        for u in order:
+            for v in b[a == u].tolist():
+                if v not in depth:
+                    depth[v], paths[v] = depth[u] + 1, 0.0
+                    order.append(v)
+                if depth[v] == depth[u] + 1:
+                    paths[v] += paths[u]
+        share = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            for v in b[a == u].tolist():
+                if depth[v] == depth[u] + 1:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+            want[u] += share[u] if u != s else 0.0
+    for single, together in ((16, 128), (0, 128), (10**9, 128), (16, 7)):
+        monkeypatch.setattr(local, "SINGLE", single)
+        monkeypatch.setattr(local, "TOGETHER", together)
+        looked.clear()
+        assert np.allclose(local.dependencies(a, b, n, np.arange(n)), want, rtol=1e-9)
+        # three batches of sources, some levels each: not one look-up for each source and level
+        assert together == 7 or len(looked) < n
+
+
+def test_betweenness_of_several_components(spark, monkeypatch):
+    from weftgraph.algo import local
+
+    monkeypatch.setattr(local, "TOGETHER", 2)
+    rows = [(10 * c + i, 10 * c + i + 1) for c in range(3) for i in range(5)] + [(7, 7), (50, 50)]
+    a = Algorithms(edges=spark.createDataFrame(rows, "src long, dst long"))
+    got = table(a.betweenness_centrality(False), "id", "score")
+    assert near(got, {**{10 * c + i: i * (5 - i) * 1.0 for c in range(3) for i in range(6)}, 7: 0.0, 50: 0.0})
