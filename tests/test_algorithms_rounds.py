@@ -225,6 +225,21 @@ def test_closeness_by_sources(both, monkeypatch):
     assert near(table(far.closeness_centrality(True), "id", "score"), table(want, "id", "score"))
 
 
+def test_louvain_holds_no_large_graph_in_the_driver(spark, monkeypatch):
+    from weftgraph.algo import sharded
+
+    def bounded(nodes, edges, resolution=1.0, find=sequential.louvain):
+        assert len(edges) <= 30
+        return find(nodes, edges, resolution)
+
+    rows = [(10 * c + i, 10 * c + j) for c in range(5) for i, j in itertools.combinations(range(6), 2)] + [(10 * c, 10 * c + 10) for c in range(4)]
+    monkeypatch.setattr(sharded, "DRIVER_EDGES", 30)
+    monkeypatch.setattr(sequential, "louvain", bounded)
+    a = Algorithms(edges=spark.createDataFrame(rows, "src long, dst long"))
+    assert a.small
+    assert table(a.louvain()[0], "id", "label") == {10 * c + i: 10 * c for c in range(5) for i in range(6)}
+
+
 def test_betweenness_goes_over_the_edges_for_many_sources_at_once(monkeypatch):
     from weftgraph.algo import local
 
