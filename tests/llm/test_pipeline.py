@@ -104,3 +104,36 @@ def test_limit_of_likeness_falls_for_short_texts(spark):
     df = spark.createDataFrame(rows, "text string, score double, want boolean")
     found = df.select("want", corpus_pipeline._like_a_language(df["text"], df["score"]).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in found)
+
+
+def test_no_memo_of_words_stays_beside_later_stages(spark, folder):
+    """Workers are reused in turn, so many tasks reach them all; a stage of few tasks reaches some."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from weftgraph.llm import bpe, jaccard_join, langid, quality, substring_dedup
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def fill(batches):
+        held = list(bpe.vocabulary(path).ids(pa.array(["some words"])))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)] * batch.num_rows, pa.int64())], ["n"])
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.vocabulary.cache_info().currsize] * batch.num_rows, pa.int64())], ["n"])
+
+    rows = spark.range(0, 24, 1, 24)
+    prototypes = langid.learn(docs)
+    for stage in (
+        lambda d: langid.predict(d, prototypes),
+        lambda d: quality.line_stats(d),
+        lambda d: substring_dedup.remove_repeats(d),
+        lambda d: jaccard_join.join(d),
+    ):
+        rows.mapInArrow(fill, "n long").collect()
+        assert {r["n"] for r in rows.mapInArrow(held, "n long").collect()} == {1}
+        stage(docs.repartition(24, "doc_id")).collect()
+        assert 0 in {r["n"] for r in rows.mapInArrow(held, "n long").collect()}

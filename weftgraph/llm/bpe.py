@@ -16,6 +16,7 @@ from heapq import heappop, heappush
 import numpy as np
 import regex
 
+from .common import KEPT
 from .word_memo import WordMemo
 
 # The split pattern of the public byte-level vocabulary.
@@ -231,3 +232,6 @@ class ByteBPE(WordMemo):
 def vocabulary(path: str) -> ByteBPE:
     """One table and memo for each Python worker."""
     return ByteBPE(path)
+
+
+KEPT.append(vocabulary.cache_clear)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..algo.components import connected_components
 from ..plans.lineage import cut, written
 from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, middle, packed_counts, summed, unpacked_counts
-from .common import small_batches, text_bytes
+from .common import let_go, small_batches, text_bytes
 from .count_tree import CountForest, count_vector, near_in_size, needed, pair_bound
 from .words import hashed, parts, windows
 
@@ -120,6 +120,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     def ask(table: pa.Table, wanted: pa.Table) -> pa.Table:
         if not table.num_rows:
             return block_rows([])
+        let_go()
         _, texts = _nodes(table, set(wanted.column("a").to_pylist()))
         hashes, counts = np.unique(shingles(texts, n)[0], return_counts=True)
         chunk, out = table.column("chunk")[0].as_py(), []
@@ -144,6 +145,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
 
     def describe(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
+        let_go()
         if table.num_rows:
             buckets, blobs = answers.column("bucket").to_pylist(), answers.column("a").to_pylist()
             tids, texts = _nodes(table, {a for b, a in zip(buckets, blobs) if b < 0})

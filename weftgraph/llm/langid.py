@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import let_go, mix, small_batches
 
 DIM = 512
 GRAM = 3
@@ -131,6 +131,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
     small_batches(docs.sparkSession)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
@@ -167,6 +168,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     extra = {f"keep_{k}": c for k, c in enumerate((keep or {}).values())}
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
             best, score = np.full(len(texts), -1), np.zeros(len(texts))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .common import small_batches
+from .common import let_go, small_batches
 from .words import coded, owners, parts, spread
 
 _SYMBOLS = b"#*$%&|<>"
@@ -73,6 +73,7 @@ def line_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     small_batches(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = batch.column(3).cast(pa.large_binary()).fill_null(b"").to_pylist()
             n_words, repeats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)

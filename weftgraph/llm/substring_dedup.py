@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, joined, middle, packed_ints, unpacked_ints
-from .common import distinct, small_batches, text_bytes
+from .common import distinct, let_go, small_batches, text_bytes
 from .words import hashed, parts, spread, windows
 
 _EMPTY = b""
@@ -139,6 +139,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bits = layout.bits
 
     def ask(table: pa.Table) -> pa.Table:
+        let_go()
         texts, _, known = _texts(table)
         hashes, owner, _ = phrases(texts, n)
         hashes = distinct(hashes[known[owner]])
@@ -161,6 +162,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def ask_more(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return block_rows([])
+        let_go()
         texts, ids, known = _texts(table)
         hashes, owner, first = phrases(texts, n)
         ok = known[owner]
@@ -198,6 +200,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kinds = "".join(f"{k} {types[k]}, " for k in carried) + "doc_id long, n_words long, n_removed long, factors array<struct<start: int, length: int, source: long, source_start: int>>, kept_sha256 string" + (", text string" if with_text else "")
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
+        let_go()
         texts, ids, known = _texts(table)
         hashes, owner, first = phrases(texts, n)
         source, place, flags = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
