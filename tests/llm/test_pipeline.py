@@ -137,3 +137,23 @@ def test_no_memo_of_words_stays_beside_later_stages(spark, folder):
         assert {r["n"] for r in rows.mapInArrow(held, "n long").collect()} == {1}
         stage(docs.repartition(24, "doc_id")).collect()
         assert 0 in {r["n"] for r in rows.mapInArrow(held, "n long").collect()}
+
+
+def test_shuffle_files_go_once_a_table_is_kept(spark):
+    import time
+
+    from weftgraph.plans.lineage import cut, written
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = files(), spark.conf.get(key)
+    frames = [spark.range(1000).repartition(7, "id"), spark.range(1000).repartition(5, "id")]
+    kept = [cut(frames[0]), written(frames[1], "kept")]
+    for _ in range(50):
+        if files() <= before[0]:
+            break
+        time.sleep(0.2)
+    assert files() <= before[0] and spark.conf.get(key) == before[1]
+    assert [x.count() for x in (*kept, *frames)] == [1000] * 4
