@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import jaccard_join, langid, packing, quality, substring_dedup
+from weftgraph.llm.common import give_back
 from weftgraph.plans.lineage import cut, written
 
 #: The least cosine with the best language prototype; junk and unlearned scripts lie below. A text of few letters
@@ -56,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id come last. A row is known by id and text, so rows that only share an id, or have none, do
     not go with each other; of rows equal in both one stays. Texts without words are in no group and all stay.
     """
+    give_back(spark)
     found = jaccard_join.join(docs, n=5, percent=80, with_keys=True).where("n_shingles > 0")
     rows = found.groupBy("component", "tid", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tid")).alias("best"))
@@ -74,6 +76,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     No row goes: a null text has nothing to remove, a text of repeats alone becomes empty. Rows without an id
     and further columns pass through; ``n_chars`` follows the text. An empty table stays empty.
     """
+    give_back(spark)
     columns = [c for c in docs.columns if c != "text"]
     found = substring_dedup.remove_repeats(docs, keep={f"__{k}": F.col(c) for k, c in enumerate(columns)})
     kept = {c: F.col(f"__{k}") for k, c in enumerate(columns)} | {"text": F.col("text")}

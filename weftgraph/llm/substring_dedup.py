@@ -36,20 +36,28 @@ def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def phrases(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and first word of every phrase of ``n`` words."""
+    """Hash, text and first word of every phrase of ``n`` words; the last two in 32 bits."""
     hs, owner, first = [], [], []
     for low, part in parts(texts):
         h, ends = hashed(part)
         got, at = windows(h, ends, n)
         who = np.searchsorted(ends, at, "right") - 1
         hs.append(got)
-        owner.append(who + low)
-        first.append(at - ends[who])
+        owner.append((who + low).astype(np.int32))
+        first.append((at - ends[who]).astype(np.int32))
     if not hs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(hs), np.concatenate(owner), np.concatenate(first)
 
 
+def _with_id(hashes: np.ndarray, owner: np.ndarray, first: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, id and first word of the phrases whose text has an id."""
+    if known.all():
+        return hashes, ids[owner], first
+    ok = known[owner]
+    return hashes[ok], ids[owner[ok]], first[ok]
+
+
 def _in_order(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Places in the order of hash, id and place; most hashes are there once, so only equal ones are sorted further."""
     order = np.argsort(hashes)
@@ -65,13 +73,14 @@ def _least(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np
     """Different hashes in order, the smallest id of each and its first place there, whether more than one id has it,
     and which of them each hash is."""
     order = _in_order(hashes, docs, places)
-    h, d = hashes[order], docs[order]
+    h = hashes[order]
     new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
-    last = np.r_[starts[1:], len(h)][: len(starts)] - 1
-    which = np.empty(len(h), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return h[starts], d[starts], places[order][starts], d[last] != d[starts], which
+    h, last = h[starts], order[np.r_[starts[1:], len(order)][: len(starts)] - 1]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    starts = order[starts]
+    return h, docs[starts], places[starts], docs[last] != docs[starts], which
 
 
 def factors(source: np.ndarray, place: np.ndarray, there: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
@@ -147,11 +156,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return block_rows([(chunk, b, distinct(middle(hashes[s], bits)).tobytes(), _EMPTY) for b, s in by_bucket(hashes, bits)])
 
     def shared(table: pa.Table) -> pa.Table:
+        let_go()
         chunks = table.column("chunk").to_pylist()
         blobs = table.column("a").to_pylist()
         prints, _ = joined(blobs, "<u4")
-        _, where, counts = np.unique(prints, return_inverse=True, return_counts=True)
-        flags, out, at = counts[where] > 1, [], 0
+        order = np.argsort(prints)
+        same = prints[order[1:]] == prints[order[:-1]]
+        flags, out, at = np.empty(len(prints), bool), [], 0
+        flags[order] = np.r_[False, same] | np.r_[same, False]
+        del order, same
         for c, blob in zip(chunks, blobs):
             k = len(blob) // 4
             if flags[at : at + k].any():
@@ -165,8 +178,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         let_go()
         texts, ids, known = _texts(table)
         hashes, owner, first = phrases(texts, n)
-        ok = known[owner]
-        h, least, place, several, _ = _least(hashes[ok], ids[owner[ok]], first[ok])
+        h, least, place, several, _ = _least(*_with_id(hashes, owner, first, ids, known))
+        del hashes, owner, first, texts
         flags = dict(zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()))
         chunk, out = table.column("chunk")[0].as_py(), []
         for b, s in by_bucket(h, bits):
@@ -180,6 +193,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def earlier(table: pa.Table) -> pa.Table:
         """For each chunk the phrases that an earlier document of another chunk has, with their first place."""
+        let_go()
         chunks, blobs = table.column("chunk").to_pylist(), table.column("a").to_pylist()
         h, came = joined(blobs, "<u8")
         docs_of, places = (np.concatenate(x) for x in zip(*(unpacked_ints(b, len(x) // 8, 2) for x, b in zip(blobs, table.column("b").to_pylist()))))
@@ -203,20 +217,27 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         let_go()
         texts, ids, known = _texts(table)
         hashes, owner, first = phrases(texts, n)
-        source, place, flags = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        ok = np.flatnonzero(known[owner])
-        if len(ok):
-            h, least, least_place, _, which = _least(hashes[ok], ids[owner[ok]], first[ok])
+        source, place, flags = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        ok = slice(None) if known.all() else np.flatnonzero(known[owner])
+        h, least, least_place, _, which = _least(*_with_id(hashes, owner, first, ids, known))
+        del hashes, first
+        if len(h):
             source[ok], place[ok] = least[which], least_place[which]
-            flags[ok] = least[which] < ids[owner[ok]]
+            flags[ok] = source[ok] < ids[owner[ok]]
+            del least, least_place
             blobs = answers.column("a").to_pylist()
             if blobs:
                 seen, _ = joined(blobs, "<u8")
                 seen_source, seen_place = (np.concatenate(x) for x in zip(*(unpacked_ints(b, len(x) // 8, 2) for x, b in zip(blobs, answers.column("b").to_pylist()))))
                 order = np.argsort(seen)
                 at = order[np.minimum(np.searchsorted(seen[order], h), len(seen) - 1)]
-                at, hit = at[which], (seen[at] == h)[which]
-                source[ok[hit]], place[ok[hit]], flags[ok[hit]] = seen_source[at[hit]], seen_place[at[hit]], True
+                hit = np.flatnonzero((seen[at] == h)[which])
+                at = at[which[hit]]
+                hit = hit if known.all() else ok[hit]
+                source[hit], place[hit], flags[hit] = seen_source[at], seen_place[at], True
+                del seen, seen_source, seen_place, order, at, hit
+            del blobs
+        del h, which
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         n_words, n_removed, parsed, digests, kept = [], [], [], [], []
         for i, text in enumerate(texts):
