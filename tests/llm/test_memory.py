@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("weftgraph.llm")
 import corpus_pipeline  # noqa: E402
-from weftgraph.llm import substring_dedup  # noqa: E402
+from weftgraph.llm import common, lm_scoring, substring_dedup  # noqa: E402
 
 
 def whole_collections(spark):
@@ -32,3 +32,13 @@ def test_places_of_phrases_are_small():
     held = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert held < 80 * len(hashes)
+
+
+def test_words_are_told_apart_once():
+    tokens, hashes, ends = lm_scoring.sequences([b"A b a", b"", b"b"])
+    assert tokens.tolist() == [2, 3, 2, 0, 0, 3, 0] and ends.tolist() == [0, 4, 5, 7] and len(hashes) == 4
+    left = lm_scoring.before(tokens, ends, 1)
+    assert left.tolist() == [1, 2, 3, 2, 1, 1, 3]
+    pairs = lm_scoring.pairs_of(tokens, hashes, ends)
+    assert (pairs == lm_scoring.pair_hashes(hashes[left], hashes[tokens])).all() and len(set(pairs.tolist())) == 7
+    assert (common.distinct(pairs)[common.ranks(pairs)] == pairs).all() and not len(common.ranks(pairs[:0]))

@@ -24,33 +24,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, Layout, block_rows, by_bucket, in_chunks, packed_counts, summed, unpacked_counts
-from .common import mix, small_batches, text_bytes
-from .words import hashed, parts
+from .common import distinct, mix, ranks, small_batches, text_bytes
+from .words import coded, parts, word_hashes
 
 END, START = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x106689D45497FDB5)
 FLUSH = 3_000_000
 LEVEL_STEP = 0x9E3779B97F4A7C15
 
 
+#: Texts whose words are told apart at a time; a word that many of them have is hashed once.
+PART = 1_500_000
+
+
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(mix(left) * np.uint64(3) + right)
 
 
-def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's words in lower case and its end, and where each text begins and ends."""
-    words, ends = hashed([t.lower() for t in texts])
-    out = np.insert(words, ends[1:], END)
-    return out, ends + np.arange(len(ends))
+def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's words in lower case and its end, as places in a list of hashes; that list, which begins with the
+    end and the start mark; where each text begins and ends."""
+    at, words, ends = coded([t.lower() for t in texts])
+    out = np.insert(at.astype(np.int32) + np.int32(2), ends[1:], np.int32(0))
+    return out, np.r_[END, START, word_hashes(words)], ends + np.arange(len(ends))
 
 
-def before(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The token before each token; the start mark before a text's first."""
+def before(tokens: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
+    """The token before each token; ``start`` before a text's first."""
     out = np.empty_like(tokens)
     out[1:] = tokens[:-1]
-    out[ends[:-1]] = START
+    out[ends[:-1]] = start
     return out
 
 
+def pairs_of(tokens: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it."""
+    return pair_hashes(hashes[before(tokens, ends, 1)], hashes[tokens])
+
+
 @dataclass(frozen=True)
 class LogFrequencyFilter:
     bits: np.ndarray  # all segments, packed
@@ -125,10 +135,11 @@ def fit(docs: DataFrame, layout: Layout, *, text_col: str) -> tuple[int, int]:
 
         for batch in batches:
             texts = batch.column(0).cast(pa.large_binary()).fill_null(b"").to_pylist()
-            for _, part in parts(texts):
-                h, c = np.unique(sequences(part)[0], return_counts=True)
-                held[0].append(h)
-                held[1].append(c.astype(np.int64))
+            for _, part in parts(texts, PART):
+                tokens, hashes, _ = sequences(part)
+                counts = np.bincount(tokens, minlength=len(hashes))
+                held[0].append(hashes[counts > 0])
+                held[1].append(counts[counts > 0])
                 if sum(map(len, held[0])) > FLUSH:
                     yield from flush()
         yield from flush()
@@ -168,18 +179,16 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
         """The chunk's different tokens (the start mark too) and pairs, and how often its training texts have each."""
         texts, train = read(table), table.column("train").to_numpy()
         held: tuple[tuple[list, list], ...] = (([], []), ([], []))
-
-        def add(order: int, found: np.ndarray, learnt: np.ndarray) -> None:
-            h, where = np.unique(found, return_inverse=True)
-            held[order][0].append(h)
-            held[order][1].append(np.bincount(where, learnt, minlength=len(h)).astype(np.int64))
-
-        for low, part in parts(texts):
-            tokens, ends = sequences(part)
-            own = train[low : low + len(part)].astype(np.float64)
+        for low, part in parts(texts, PART):
+            tokens, hashes, ends = sequences(part)
+            own = train[low : low + len(part)]
             weight = np.repeat(own, np.diff(ends))
-            add(0, np.r_[tokens, np.full(len(part), START, np.uint64)], np.r_[weight, own])
-            add(1, pair_hashes(before(tokens, ends), tokens), weight)
+            counts = np.bincount(tokens, weight, minlength=len(hashes)).astype(np.int64)
+            counts[1] = own.sum()
+            held[0][0].append(hashes)
+            held[0][1].append(counts)
+            held[1][0].append(pairs_of(tokens, hashes, ends))
+            held[1][1].append(weight.astype(np.int32))
         chunk = table.column("chunk")[0].as_py()
         (words, n_words), (pairs, n_pairs) = (summed(h, c) for h, c in held)
         own, rows = dict(by_bucket(words, bits)), []
@@ -225,25 +234,26 @@ def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str =
         own = middle[np.concatenate([np.frombuffer(a[k], np.uint8, n_words[k], 8) for k in order])]
         of_pair = np.frombuffer(b"".join([b[k] for k in order]), np.uint8)
         # answers are in the order of the hashes, as buckets are their top bits
-        seen_words, seen_pairs = [np.array([START], np.uint64)], []
-        for _, part in parts(texts):
-            tokens, ends = sequences(part)
-            seen_words.append(np.unique(tokens))
-            seen_pairs.append(np.unique(pair_hashes(before(tokens, ends), tokens)))
-        words, pairs = np.unique(np.concatenate(seen_words)), np.unique(np.concatenate(seen_pairs))
+        read_parts, pairs = [], []
+        for _, part in parts(texts, PART):
+            tokens, hashes, ends = sequences(part)
+            read_parts.append((tokens, hashes, ends))
+            pairs.append(pairs_of(tokens, hashes, ends))
+        words = distinct(np.concatenate([h for _, h, _ in read_parts]))
+        pair_at, low = ranks(np.concatenate(pairs)), 0
+        del pairs
         n_tokens, n_known, base_score, scores = [], [], [], []
-        for _, part in parts(texts):
-            tokens, ends = sequences(part)
-            at = np.searchsorted(words, tokens)
-            left = before(tokens, ends)
-            c_left = own[np.searchsorted(words, left)]
-            found, where = np.unique(pair_hashes(left, tokens), return_inverse=True)
-            c_pair = np.minimum(middle[of_pair[np.searchsorted(pairs, found)]][where], c_left)
-            p = (c_pair + kappa * (own[at] + 1) / total) / (c_left + kappa)
+        log_known = np.log10(known + 1.0)
+        for tokens, hashes, ends in read_parts:
+            at = np.searchsorted(words, hashes)
+            c_left = own[at][before(tokens, ends, 1)]
+            c_pair = np.minimum(middle[of_pair[pair_at[low : low + len(tokens)]]], c_left)
+            low += len(tokens)
+            p = (c_pair + (kappa * (own[at] + 1) / total)[tokens]) / (c_left + kappa)
             starts = ends[:-1]
             n_tokens.append(np.diff(ends))
-            n_known.append(np.add.reduceat((known[at] > 0).astype(np.int64), starts))
-            base_score.append(np.add.reduceat(np.log10(known[at] + 1.0), starts) - np.diff(ends) * np.log10(total))
+            n_known.append(np.add.reduceat((known[at] > 0)[tokens].astype(np.int64), starts))
+            base_score.append(np.add.reduceat(log_known[at][tokens], starts) - np.diff(ends) * np.log10(total))
             scores.append(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts))
         n = len(texts)
         train = table.column("train").to_numpy()
