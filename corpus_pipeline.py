@@ -31,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by its text alone: ids may be null or repeated, equal rows stay or go together, further
     columns pass through whatever their names. Long texts are read whole. An empty table stays empty.
     """
+    give_back(spark)
     columns = docs.columns
     found = langid.predict(docs, langid.learn(docs), keep={c: F.col(c) for c in columns})
     text = F.col(f"c{columns.index('text')}")
@@ -46,6 +47,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     apart. A null or empty text has no words and goes; a null source is a host of its own. Further columns pass
     through. An empty table stays empty.
     """
+    give_back(spark)
     rejected = quality.apply_rules(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     text = F.xxhash64(F.col("text").cast("string"))
     return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__hash")), "left_anti")
@@ -64,6 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
     marked = rows.join(best, "component").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"), stays.alias("__stays"), "copies")
     marked = cut(marked.where("not __stays or copies > 1").drop("copies"))
+    give_back(spark)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (jaccard_join.text_id("text") == F.col("__tid"))
     single = docs.join(marked, same, "left_anti")
     repeated = docs.join(marked.where("__stays"), same).groupBy("__id", "__tid").agg(F.first(F.struct(*docs.columns)).alias("__row"))
@@ -87,6 +90,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two length; a null or empty text is the one id that ends a document."""
+    give_back(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
