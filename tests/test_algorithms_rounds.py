@@ -282,3 +282,27 @@ def test_betweenness_of_several_components(spark, monkeypatch):
     a = Algorithms(edges=spark.createDataFrame(rows, "src long, dst long"))
     got = table(a.betweenness_centrality(False), "id", "score")
     assert near(got, {**{10 * c + i: i * (5 - i) * 1.0 for c in range(3) for i in range(6)}, 7: 0.0, 50: 0.0})
+
+
+def test_betweenness_adds_counts_in_the_smallest_type_that_holds_them(monkeypatch):
+    from weftgraph.algo import local
+
+    wide, layers = 6, 16  # each node leads to all of the next layer: up to 6 ** 14 paths
+    a, b = (np.array(x) for x in zip(*((wide * i + x, wide * (i + 1) + y) for i in range(layers - 1) for x in range(wide) for y in range(wide))))
+    a, b = np.r_[a, [200] * 40], np.r_[b, np.arange(101, 141)]  # one with more edges than the others, not reached from layers
+    want = np.zeros(201)
+    want[: wide * layers] = np.repeat([i * (layers - 1 - i) * wide for i in range(layers)], wide)
+    kinds = set()
+
+    def seen(to, many, rows, of, f=local.added_rows):
+        kinds.add(rows.dtype.name)
+        assert len(rows) <= wide * layers  # not of the whole graph
+        yield from f(to, many, rows, of)
+
+    monkeypatch.setattr(local, "added_rows", seen)
+    monkeypatch.setattr(local, "SINGLE", 10**9)
+    for few, gathered in ((1, 1 << 16), (10**9, 1 << 16), (3, 64)):
+        monkeypatch.setattr(local, "FEW", few)
+        monkeypatch.setattr(local, "GATHERED", gathered)
+        assert np.allclose(local.dependencies(a, b, 201, np.arange(201)), want, rtol=1e-12)
+    assert kinds == {"uint16", "uint32", "float64"}
