@@ -306,3 +306,41 @@ def test_betweenness_adds_counts_in_the_smallest_type_that_holds_them(monkeypatc
         monkeypatch.setattr(local, "GATHERED", gathered)
         assert np.allclose(local.dependencies(a, b, 201, np.arange(201)), want, rtol=1e-12)
     assert kinds == {"uint16", "uint32", "float64"}
+
+
+def test_closeness_and_betweenness_hold_no_more_than_a_component(spark, monkeypatch):
+    from weftgraph.algo import local, parts
+
+    rows = [(100 * c + i, 100 * c + i + 1) for c in range(7) for i in range(5)] + [(900 + i, 901 + i) for i in range(30)] + [(7000, 7001), (50000, 50000), (100, 101)]
+    score = {}
+    for first, n in [(100 * c, 6) for c in range(7)] + [(900, 31), (7000, 2)]:
+        score |= {first + i: (2.0 / (n - i) if i < n - 1 else 0.0, float(i * (n - 1 - i))) for i in range(n)}
+    score[50000] = (0.0, 0.0)
+    score |= {100 + i: (score[100 + i][0], score[100 + i][1]) for i in range(6)}
+    want = [{k: v[i] for k, v in score.items()} for i in range(2)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    monkeypatch.setattr(library, "LOCAL_EDGES", 10)
+    monkeypatch.setattr(library, "cut", None)  # an edge for each row, in the shared folder
+    monkeypatch.setattr(iterative, "closeness", None)  # a row for each pair of nodes
+    monkeypatch.setattr(parts, "PART_EDGES", 31)
+    monkeypatch.setattr(local, "TOGETHER", 4)
+    for together, merged in ((10, 8), (1, 8), (1024, 1 << 20)):
+        monkeypatch.setattr(parts, "TOGETHER_NODES", together)
+        monkeypatch.setattr(parts, "MERGED_EDGES", merged)
+        monkeypatch.setattr(parts, "PART_EDGES", 31 if together < 1024 else 100)
+        a = Algorithms(edges=edges)
+        assert not a.packed_arcs.isEmpty() and not a.small
+        held = Algorithms(edges=edges).parts.edges
+        assert held.sum() == len(rows) and (held.max() == 30 or together == 1024)
+        assert near(table(a.closeness_centrality(), "id", "score"), want[0])
+        assert near(table(Algorithms(edges=edges).betweenness_centrality(False), "id", "score"), want[1])
+
+
+def test_closeness_of_a_component_too_large_for_a_task(both, monkeypatch):
+    from weftgraph.algo import parts
+
+    rows, a = both
+    want = table(a.closeness_centrality(), "id", "score")
+    monkeypatch.setattr(library, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(parts, "PART_EDGES", 1)
+    assert near(table(Algorithms(nodes=a.nodes, edges=a.edges).closeness_centrality(), "id", "score"), want)
