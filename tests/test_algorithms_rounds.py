@@ -330,7 +330,8 @@ def test_closeness_and_betweenness_hold_no_more_than_a_component(spark, monkeypa
         monkeypatch.setattr(parts, "PART_EDGES", 31 if together < 1024 else 100)
         a = Algorithms(edges=edges)
         assert not a.packed_arcs.isEmpty() and not a.small
-        held = Algorithms(edges=edges).parts.edges
+        assert Algorithms(edges=edges).in_parts(30) is None
+        held = Algorithms(edges=edges).in_parts(100).edges
         assert held.sum() == len(rows) and (held.max() == 30 or together == 1024)
         assert near(table(a.closeness_centrality(), "id", "score"), want[0])
         assert near(table(Algorithms(edges=edges).betweenness_centrality(False), "id", "score"), want[1])
